@@ -74,3 +74,14 @@ ARROW = {
 def words_of(text: str) -> Column:
     """Number of contract words of a column; null has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Ids that a broadcast may hold; 16 bytes each at most, so a few MB.
+BROADCAST_IDS = 200_000
+
+
+def semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is among ``ids`` (distinct): a broadcast if these are counted and few, else a shuffle."""
+    ids = materialize(ids)
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids.hint("merge"), on, "left_semi")
