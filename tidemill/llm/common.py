@@ -80,8 +80,13 @@ def words_of(text: str) -> Column:
 BROADCAST_IDS = 200_000
 
 
+def joined(df: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join with ``side`` (a few numbers a row): by a broadcast if it is counted and small, else by a shuffle."""
+    side = materialize(side)
+    few = side.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(side) if few else side.hint("merge"), on, how)
+
+
 def semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is among ``ids`` (distinct): a broadcast if these are counted and few, else a shuffle."""
-    ids = materialize(ids)
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids.hint("merge"), on, "left_semi")
+    """Rows of ``df`` whose ``on`` is among ``ids``."""
+    return joined(df, ids, on, "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import joined, materialize
 
 #: Pairs of the first round are with one hub; each later round takes so many times the hubs of the one before.
 GROWTH = 4
@@ -38,30 +38,36 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def link_buckets(entries: DataFrame, may: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def link_buckets(
+    entries: DataFrame, facts: DataFrame, may: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+) -> DataFrame:
     """Links (a, b) that connect all members of a bucket that any chain of links within buckets connects.
 
-    ``entries`` has (key, id, fact); members of one key are candidates for each other if ``may`` holds of their
-    facts. ``prepare(ids)`` gets all ids that share a bucket and returns the check, from pairs (a, b) to the linked.
-    First, all members are paired with the smallest id of their bucket. Then, only in buckets whose members still
-    are in several components, the next hubs are paired with later members of other components, four times as many
-    hubs each round, until every bucket is one component or all its pairs across components were checked. So no
-    pair is lost to a bucket's size, and a bucket of one large group costs one pair a member.
+    ``entries`` has (key, id); members of one key are candidates for each other if ``may`` holds of their facts
+    (``facts``: id, fact). ``prepare(ids)`` gets all ids that may be checked and returns the check, from pairs (a, b)
+    to the linked. First, all members are paired with the smallest id of their bucket. Then, only in buckets whose
+    members still are in several components, the next hubs are paired with later members of other components, four
+    times as many hubs each round, until every bucket is one component or all its pairs across components were
+    checked. So no pair is lost to a bucket's size, and a bucket of one large group costs one pair a member.
     """
-    buckets = entries.groupBy("key").agg(F.min(F.struct("id", "fact")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(entries.join(buckets, "key"))
-    check = prepare(members.select("id").distinct())
-    other = members.where(F.col("id") != F.col("hub.id"))
-    pairs = other.where(may(F.col("fact"), F.col("hub.fact"))).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"))
+    buckets = materialize(buckets.where("n > 1"))
+    # A bucket of two is its smallest and its largest id: only larger ones are joined with their members.
+    members = materialize(joined(entries, buckets.where("n > 2").select("key", "n", "hub"), "key"))
+    pairs = buckets.where("n = 2").select(F.col("last").alias("a"), F.col("hub").alias("b"))
+    pairs = pairs.unionByName(members.select(F.col("id").alias("a"), F.col("hub").alias("b"))).where("a <> b").distinct()
+    left, right = (facts.select(F.col("id").alias(x), F.col("fact").alias(f"fact_{x}")) for x in ("a", "b"))
+    pairs = pairs.join(left, "a").join(right, "b").where(may(F.col("fact_a"), F.col("fact_b"))).select("a", "b")
     pairs = tested = materialize(pairs)
+    check = prepare(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
     links = materialize(check(pairs))
+    members = members.select("key", "id", "n")
     low, high = 2, 2 + GROWTH
-    while True:
+    while not members.where(F.col("n") > low).isEmpty():
         members = members.where(F.col("n") > low)
-        parts = components(links)
-        placed = members.select("key", "id", "fact", "n").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        placed = placed.join(open_, "key", "left_semi")
+        placed = placed.join(open_, "key", "left_semi").join(facts, "id")
         placed = materialize(placed.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))))
         hubs = placed.where(F.col("rank").between(low, high - 1)).select("key", *(F.col(c).alias(f"hub_{c}") for c in ("id", "fact", "component", "rank")))
         pairs = placed.join(hubs, "key").where((F.col("rank") > F.col("hub_rank")) & (F.col("component") != F.col("hub_component")))
@@ -70,6 +76,6 @@ def link_buckets(entries: DataFrame, may: Callable[[Column, Column], Column], pr
         if not pairs.isEmpty():
             links = materialize(links.unionByName(check(pairs)))
             tested = tested.unionByName(pairs)
-        if placed.where(F.col("n") > high).isEmpty():
-            return links
+        members = placed.select("key", "id", "n")  # all others are one component each
         low, high = high, high + (high - low) * GROWTH
+    return links

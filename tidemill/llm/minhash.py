@@ -185,14 +185,15 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(sketches(docs))
     first = materialize(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("f")).select("digest", "f.*"))
-    entries = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n").alias("fact"))
+    entries = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    facts = first.select(F.col("doc_id").alias("id"), F.col("n").alias("fact"))
 
     def prepare(ids: DataFrame):  # noqa: ANN202
         chosen = semi(docs.withColumnRenamed("doc_id", "id"), ids, "id")
         texts = materialize(chosen.groupBy("id").agg(F.min("text").alias("text")))
         return lambda pairs: check_pairs(pairs, texts, least=least)
 
-    links = link_buckets(entries, lambda x, y: F.least(x, y) >= least * F.greatest(x, y), prepare)
+    links = link_buckets(entries, facts, lambda x, y: F.least(x, y) >= least * F.greatest(x, y), prepare)
     copies = first.select("digest", F.col("doc_id").alias("copy_id"))
     out = rows.select("doc_id", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(copies, "digest", "left").drop("digest")
     out = out.withColumn("copy_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("copy_id", "doc_id")))

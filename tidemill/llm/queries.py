@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, minhash, mixing, pivots, sharding
+from . import bpe, exact_dedup, lines, minhash, mixing, pivots, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": minhash.query,
     "op6_sharding": sharding.query,
     "op7_pivots": pivots.query,
+    "op8_lines": lines.query,
     "op10_mixing": mixing.query,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL}

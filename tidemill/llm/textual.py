@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Lower-case ASCII and turn everything else of ASCII but letters and digits into spaces; line ends stay.
-_TABLE = bytes(ord(chr(i).lower()) if i >= 128 or chr(i).isalnum() or i == 10 else 32 for i in range(256))
+#: Turns everything of ASCII but letters, digits and line ends into spaces.
+_TABLE = bytes(i if i >= 128 or chr(i).isalnum() or i == 10 else 32 for i in range(256))
 
 
 def plain(text: str | None) -> bytes:
