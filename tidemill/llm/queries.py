@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, lines, minhash, mixing, pivots, sharding
+from . import bpe, exact_dedup, lines, minhash, mixing, pivots, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.query,
+    "op3_toxicity": toxicity.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_minhash": minhash.query,
     "op6_sharding": sharding.query,
