@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, table
+from .common import bounded_batches, map_rows, materialize, table
 from .textual import plain
 
 #: Labelled rows of each class that are learned from, and the entries of the lexicon, at most.
@@ -275,6 +277,21 @@ def predicted() -> Column:
     return (F.col("score") >= 0.7).cast("int")
 
 
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that aren't predicted toxic."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder, w = Finder(sent.value), sent.value.weights
+        for texts in batches:
+            z = np.clip(np.array([finder.features(t) for t in texts]).reshape(-1, len(w)) @ w, -40, 40)
+            yield pd.Series(1 / (1 + np.exp(-z)))
+
+    return docs.where(run("text") < 0.7)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
