@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, materialize
+from .common import bounded_batches, joined, materialize
 
-#: Pairs of the first round are with one hub; each later round takes so many times the hubs of the one before.
-GROWTH = 4
+#: Members of a bucket that meet in one task, twice.
+BLOCK = 512
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,43 +41,79 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_buckets(
-    entries: DataFrame, facts: DataFrame, may: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+    entries: DataFrame, facts: DataFrame, may: Callable[[Column, Column], Column], texts_of: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame, DataFrame], DataFrame], matcher: Callable[[], Matcher]
 ) -> DataFrame:
     """Links (a, b) that connect all members of a bucket that any chain of links within buckets connects.
 
     ``entries`` has (key, id); members of one key are candidates for each other if ``may`` holds of their facts
-    (``facts``: id, fact). ``prepare(ids)`` gets all ids that may be checked and returns the check, from pairs (a, b)
-    to the linked. First, all members are paired with the smallest id of their bucket. Then, only in buckets whose
-    members still are in several components, the next hubs are paired with later members of other components, four
-    times as many hubs each round, until every bucket is one component or all its pairs across components were
-    checked. So no pair is lost to a bucket's size, and a bucket of one large group costs one pair a member.
+    (``facts``: id, fact). ``texts_of(ids)`` gives (id, text) for all ids that may be compared.
+    First, all members are paired with the smallest id of their bucket: one pair a member. ``check`` gives those that
+    are linked. Buckets whose members then are in one component are done. In the others, every member outside the
+    hub's component meets all members in blocks (``settle``), so no pair is lost to a bucket's size, and none is
+    ever a row.
     """
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"))
     buckets = materialize(buckets.where("n > 1"))
     # A bucket of two is its smallest and its largest id: only larger ones are joined with their members.
-    members = materialize(joined(entries, buckets.where("n > 2").select("key", "n", "hub"), "key"))
+    members = materialize(joined(entries, buckets.where("n > 2").select("key", "hub"), "key"))
     pairs = buckets.where("n = 2").select(F.col("last").alias("a"), F.col("hub").alias("b"))
     pairs = pairs.unionByName(members.select(F.col("id").alias("a"), F.col("hub").alias("b"))).where("a <> b").distinct()
     left, right = (facts.select(F.col("id").alias(x), F.col("fact").alias(f"fact_{x}")) for x in ("a", "b"))
     pairs = pairs.join(left, "a").join(right, "b").where(may(F.col("fact_a"), F.col("fact_b"))).select("a", "b")
-    pairs = tested = materialize(pairs)
-    check = prepare(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
-    links = materialize(check(pairs))
-    members = members.select("key", "id", "n")
-    low, high = 2, 2 + GROWTH
-    while not members.where(F.col("n") > low).isEmpty():
-        members = members.where(F.col("n") > low)
-        placed = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        placed = placed.join(open_, "key", "left_semi").join(facts, "id")
-        placed = materialize(placed.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))))
-        hubs = placed.where(F.col("rank").between(low, high - 1)).select("key", *(F.col(c).alias(f"hub_{c}") for c in ("id", "fact", "component", "rank")))
-        pairs = placed.join(hubs, "key").where((F.col("rank") > F.col("hub_rank")) & (F.col("component") != F.col("hub_component")))
-        pairs = pairs.where(may(F.col("fact"), F.col("hub_fact"))).select(F.col("id").alias("a"), F.col("hub_id").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            links = materialize(links.unionByName(check(pairs)))
-            tested = tested.unionByName(pairs)
-        members = placed.select("key", "id", "n")  # all others are one component each
-        low, high = high, high + (high - low) * GROWTH
-    return links
+    pairs = materialize(pairs)
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
+    links = materialize(check(pairs, texts))
+    if members.isEmpty():
+        return links
+    parts = components(links)
+    placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    hubs = parts.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
+    placed = materialize(placed.join(hubs, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub")))
+    return links.unionByName(settle(placed, texts, matcher))
+
+
+class Matcher(Protocol):
+    """Compares members of a block. ``near`` may only leave out what ``same`` would refuse."""
+
+    def item(self, text: str) -> Any: ...
+
+    def index(self, items: list) -> Any: ...
+
+    def near(self, item: Any, index: Any) -> Iterable[int]: ...
+
+    def same(self, a: Any, b: Any) -> bool: ...
+
+
+def settle(placed: DataFrame, texts: DataFrame, matcher: Callable[[], Matcher], block: int = BLOCK) -> DataFrame:
+    """Links between components of a bucket. ``placed`` has (key, id, component, hub_component)."""
+    apart = F.col("component") != F.col("hub_component")
+    sizes = placed.groupBy("key").agg(F.ceil(F.sum(apart.cast("int")) / block).cast("int").alias("us"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("vs")).where("us > 0")
+    placed = placed.join(sizes, "key")
+    h = F.xxhash64("id", "key")
+    # Each block of members apart (u) meets each block of all members (v).
+    everyone = placed.select("key", "id", "component", F.explode(F.sequence(F.lit(0), F.col("us") - 1)).alias("u"), F.pmod(h, F.col("vs")).alias("v"), F.lit(0).alias("apart"))
+    outside = placed.where(apart).select("key", "id", "component", F.pmod(h, F.col("us")).alias("u"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("v"), F.lit(1).alias("apart"))
+    rows = everyone.withColumn("u", F.col("u").cast("long")).unionByName(outside.withColumn("v", F.col("v").cast("long")))
+    bounded_batches(placed.sparkSession)
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        m, root, out = matcher(), {}, []
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        ours, all_ = cell[cell.apart == 1], cell[cell.apart == 0]
+        items = [m.item(t) for t in all_.text]
+        index = m.index(items)
+        ids, parts = all_.id.to_numpy(), all_.component.to_numpy()
+        for i, part, text in zip(ours.id, ours.component, ours.text, strict=True):
+            mine = m.item(text)
+            for j in m.near(mine, index):
+                if (x := find(part)) != (y := find(parts[j])) and m.same(mine, items[j]):
+                    root[max(x, y)] = min(x, y)
+                    out.append((i, ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return materialize(rows.join(texts, "id").groupBy("key", "u", "v").applyInPandas(run, "a long, b long").distinct())

@@ -143,20 +143,51 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
+def needed(n: int, m: int, least: float) -> int:
+    """Common items that two sequences need for common / (n + m - common) >= ``least``."""
+    return max(1, int(np.ceil(least * (n + m) / (1 + least) - 1e-9)))
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether common / (n + m - common) of two shingle sequences is ``least`` or more."""
     n, m = len(a), len(b)
-    need = int(np.ceil(least * (n + m) / (1 + least) - 1e-9))
-    if min(n, m) < max(1, need):
-        return False
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    if np.minimum(ca[i], cb[j]).sum() < need:  # no order can do better than this
+    need = needed(n, m, least)
+    if min(n, m) < need or len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < need:  # no order can do better
         return False
     return distance(a, b, n + m - 2 * need) is not None
 
 
+class Shingles:
+    """A Matcher: items that share too few labelled shingles for any order of them are left out at once."""
+
+    def __init__(self, shingle: int = SHINGLE, least: float = SIMILARITY) -> None:
+        self.shingle, self.least, self.numbers = shingle, least, Numbers()
+
+    def item(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        s = shingles(self.numbers.of(plain(text).split()), self.shingle)
+        return s, labelled(s)
+
+    def index(self, items: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(s) for s, _ in items], dtype=np.int64)
+        every, owner = np.concatenate([x for _, x in items]), np.repeat(np.arange(len(items)), sizes)
+        order = np.argsort(every, kind="stable")
+        return every[order], owner[order], sizes
+
+    def near(self, item: tuple, index: tuple) -> np.ndarray:
+        every, owner, sizes = index
+        low, high = np.searchsorted(every, item[1], "left"), np.searchsorted(every, item[1], "right")
+        found = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(found.sum())
+        common = np.bincount(owner[at], minlength=len(sizes))
+        need = np.maximum(1, np.ceil(self.least * (len(item[0]) + sizes) / (1 + self.least) - 1e-9))
+        good = np.flatnonzero(common >= need)
+        return good[np.argsort(-common[good], kind="stable")]
+
+    def same(self, a: tuple, b: tuple) -> bool:
+        n, m = len(a[0]), len(b[0])
+        return distance(a[0], b[0], n + m - 2 * needed(n, m, self.least)) is not None
+
+
 def check_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """Of pairs (a, b) of ids, those whose texts (id, text) are similar."""
 
@@ -188,12 +219,11 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     entries = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     facts = first.select(F.col("doc_id").alias("id"), F.col("n").alias("fact"))
 
-    def prepare(ids: DataFrame):  # noqa: ANN202
+    def texts_of(ids: DataFrame) -> DataFrame:
         chosen = semi(docs.withColumnRenamed("doc_id", "id"), ids, "id")
-        texts = materialize(chosen.groupBy("id").agg(F.min("text").alias("text")))
-        return lambda pairs: check_pairs(pairs, texts, least=least)
+        return materialize(chosen.groupBy("id").agg(F.min("text").alias("text")))
 
-    links = link_buckets(entries, facts, lambda x, y: F.least(x, y) >= least * F.greatest(x, y), prepare)
+    links = link_buckets(entries, facts, lambda x, y: F.least(x, y) >= least * F.greatest(x, y), texts_of, lambda pairs, texts: check_pairs(pairs, texts, least=least), lambda: Shingles(least=least))
     copies = first.select("digest", F.col("doc_id").alias("copy_id"))
     out = rows.select("doc_id", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(copies, "digest", "left").drop("digest")
     out = out.withColumn("copy_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("copy_id", "doc_id")))
