@@ -29,9 +29,12 @@ def count(name: str = "count") -> Reducer:
 
 def total(value: str | Column, name: str = "sum", kind: str | None = None) -> Reducer:
     """Sum; what is no number adds nothing. ``kind`` casts each value first, such as to a decimal for exact sums."""
-    col = F.col(value) if isinstance(value, str) else value
-    term = F.coalesce(col.cast(kind) if kind else col, F.lit(0))
-    return Reducer(name, lambda _: F.sum(term), (lambda acc, row: (acc or 0) + (row[value] or 0)) if isinstance(value, str) else None)
+
+    def make(_: Column) -> Column:
+        col = F.col(value) if isinstance(value, str) else value
+        return F.sum(F.coalesce(col.cast(kind) if kind else col, F.lit(0)))
+
+    return Reducer(name, make, (lambda acc, row: (acc or 0) + (row[value] or 0)) if isinstance(value, str) else None)
 
 
 def least(value: str, name: str = "min") -> Reducer:
