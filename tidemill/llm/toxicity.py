@@ -52,7 +52,8 @@ class Automaton:
         self.child: list[dict[str, int]] = [{}]
         self.word: list[bool] = [False]
         self.stem: list[bool] = [False]
-        self.most: list[int] = [0]  # edits that the longest entry below may have
+        self.room: list[int] = [0]  # edits that the entry which ends here may have
+        self.most: list[int] = [0]  # and the entries below
         for term, ends in [(w, self.word) for w in words] + [(s, self.stem) for s in stems]:
             at = 0
             room = edits if ends is self.word and len(term) >= fuzzy else 0
@@ -63,9 +64,10 @@ class Automaton:
                     self.child.append({})
                     self.word.append(False)
                     self.stem.append(False)
+                    self.room.append(0)
                     self.most.append(0)
                 at = self.child[at][c]
-            self.most[at] = max(self.most[at], room)
+            self.most[at], self.room[at] = max(self.most[at], room), max(self.room[at], room)
             ends[at] = True
         self.reset()
 
@@ -91,7 +93,7 @@ class Automaton:
             s = self.states[closed] = len(self.sets)
             self.sets.append(closed)
             self.step.append({})
-            ends = [e for n, e in closed if n < 0 or self.word[n] and e <= self.most[n] or self.stem[n] and e == 0]
+            ends = [e for n, e in closed if n < 0 or self.word[n] and e <= self.room[n] or self.stem[n] and e == 0]
             self.found.append(min(ends, default=-1))
         return s
 
@@ -188,7 +190,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [labels.where(F.col("toxic") == c).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(most) for c in (0, 1)]
     # 2 * most rows of two numbers at most.
-    return materialize(docs.join(F.broadcast(by_hash[0].unionByName(by_hash[1])), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
+    return materialize(docs.select("doc_id", "text").join(F.broadcast(by_hash[0].unionByName(by_hash[1])), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")))
 
 
 def lexicon(rows: DataFrame) -> Model:
