@@ -8,7 +8,7 @@ from tidemill.llm import mixing
 
 
 def test_targets():
-    assert mixing.targets([100, 100, 100]) == [200.0, 450 / 3 * 2 / 1 * 0 + 250 / 3 * 2, 250 / 3]
+    assert mixing.targets([100, 100, 100]) == [200.0, 250 / 3 * 2, 250 / 3]
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
     rng = random.Random(1)
     for _ in range(50):

@@ -56,9 +56,10 @@ def tilts(sizes: DataFrame, sources: dict[int, tuple[float, float, float]], most
         guess = spark.createDataFrame([(s, t, sources[s][1]) for s, t in now.items()], "sid int, tilt double, mean double")
         x = F.col("size") / F.col("mean")
         half = 1 / (1 + F.exp(-F.col("tilt") * x))
-        got = sizes.join(guess, "sid").groupBy("sid").agg(
-            F.sum(most * half * F.col("size") * F.col("n")).alias("words"), F.sum(most * half * (1 - half) * x * F.col("size") * F.col("n")).alias("slope")
-        )
+        words = most * half * F.col("size") * F.col("n")
+        # Sums of decimals don't depend on the order of tasks, so reruns find the same tilts to the last bit.
+        sums = [F.sum(c.cast("decimal(38,9)")).cast("double") for c in (words, words * (1 - half) * x)]
+        got = sizes.join(guess, "sid").groupBy("sid").agg(sums[0].alias("words"), sums[1].alias("slope"))
         for s, words, slope in got.collect():
             off = words - sources[s][2]
             if abs(off) <= 1e-9 * sources[s][2]:
