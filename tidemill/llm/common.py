@@ -80,6 +80,12 @@ def words_of(text: str) -> Column:
 BROADCAST_IDS = 200_000
 
 
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver holds, broadcast in joins unless there are too many."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_IDS else df
+
+
 def joined(df: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join with ``side`` (a few numbers a row): by a broadcast if it is counted and small, else by a shuffle."""
     side = materialize(side)

@@ -20,7 +20,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, words_of
+from .common import listed, materialize, table, words_of
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
 #: Bins of the hashed order of a source, in one of which the last copy of a pass lies.
@@ -53,7 +53,7 @@ def tilts(sizes: DataFrame, sources: dict[int, tuple[float, float, float]], most
     for _ in range(100):
         if not now:
             break
-        guess = spark.createDataFrame([(s, t, sources[s][1]) for s, t in now.items()], "sid int, tilt double, mean double")
+        guess = listed(spark, [(s, t, sources[s][1]) for s, t in now.items()], "sid int, tilt double, mean double")
         x = F.col("size") / F.col("mean")
         half = 1 / (1 + F.exp(-F.col("tilt") * x))
         words = most * half * F.col("size") * F.col("n")
@@ -84,14 +84,14 @@ def _corrected(rows: DataFrame, goals: dict[int, float], seed: int, turn: int, m
     """``rows`` after single copies came or went, in hashed order, as long as they fit into what is missing or too much."""
     spark = rows.sparkSession
     off = {s: goals[s] - (n or 0) for s, n in rows.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size"))).collect()}
-    gaps = spark.createDataFrame([(s, abs(x), 1 if x > 0 else -1) for s, x in off.items()], "sid int, gap double, step int")
+    gaps = listed(spark, [(s, abs(x), 1 if x > 0 else -1) for s, x in off.items()], "sid int, gap double, step int")
     able = (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & F.when(F.col("step") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
     rows = rows.join(gaps, "sid").withColumn("order", _uniform(seed, turn)).withColumn("bin", F.when(able, F.least(F.floor(F.col("order") * BINS), F.lit(BINS - 1))))
     sums = rows.where("bin is not null").groupBy("sid", "bin", "gap").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("sid").orderBy("bin")))
     # Of each source, the first bin that doesn't fit whole.
     last = {s: (int(b), float(w)) for s, b, w in sums.where("upto > gap").groupBy("sid").agg(F.min("bin"), F.min(F.col("upto") - F.col("words"))).collect()}
-    ends = spark.createDataFrame([(s, *last.get(s, (BINS, 0.0))) for s in off], "sid int, last long, words_before double")
+    ends = listed(spark, [(s, *last.get(s, (BINS, 0.0))) for s in off], "sid int, last long, words_before double")
     rows = rows.join(ends, "sid")
     whole = rows.where("bin is null or bin <> last").withColumn("fits", F.coalesce(F.col("bin") < F.col("last"), F.lit(False)))
     upto = F.sum("size").over(Window.partitionBy("sid").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
@@ -107,12 +107,12 @@ def mix(docs: DataFrame, seed: int = 11, key: str = "doc_id", text: str = "text"
     sums = rows.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()
     sums = sorted(sums, key=lambda r: (r[0] is None, r[0] or ""))
     goals = targets([r[1] for r in sums])
-    listed = [(i, r[0], r[1], r[1] / r[2], goals[i]) for i, r in enumerate(sums)]
-    names = spark.createDataFrame(listed, "sid int, name string, source_size long, mean double, target double")
+    by_id = [(i, r[0], r[1], r[1] / r[2], goals[i]) for i, r in enumerate(sums)]
+    names = listed(spark, by_id, "sid int, name string, source_size long, mean double, target double")
     rows = rows.join(names, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     sizes = materialize(rows.where("size > 0").groupBy("sid", "size").agg(F.count(F.lit(1)).alias("n")))
-    tilt = tilts(sizes, {i: (w, m, g) for i, _, w, m, g in listed}, most)
-    rows = rows.join(spark.createDataFrame(list(tilt.items()), "sid int, tilt double"), "sid")
+    tilt = tilts(sizes, {i: (w, m, g) for i, _, w, m, g in by_id}, most)
+    rows = rows.join(listed(spark, list(tilt.items()), "sid int, tilt double"), "sid")
     rate = F.when(F.col("size") == 0, most / 2).otherwise(most / (1 + F.exp(-F.col("tilt") * F.col("size") / F.col("mean"))))
     rows = rows.withColumn("rate", rate)
     copies = F.least(F.floor("rate") + F.when(_uniform(seed, 0) < F.col("rate") - F.floor("rate"), 1).otherwise(0), F.lit(most))
