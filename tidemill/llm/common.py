@@ -31,17 +31,29 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and return a reader of it.
 
-    A lost executor re-reads the files; nothing upstream runs again.
+    A lost executor re-reads the files; nothing upstream runs again. ``discard`` removes the files.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/tidemill-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Remove the tables that ``materialize`` has written so far. Results that weren't written elsewhere are lost."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches small, so that very long texts never meet 10,000 to a batch in one worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,7 +1,7 @@
 """Exact deduplication by a heavy-hitter split.
 
 A Misra-Gries summary of every task names the digests that may be frequent. Their exact counts and keepers are
-verified; the verified winners, of which there are never more than ``2 * counters``, go to all tasks, where their
+verified; the verified winners, of which there are never more than ``counters + 1``, go to all tasks, where their
 rows are answered without a shuffle. All other digests are aggregated and joined in the ordinary way, by a shuffle
 in which no digest has more than a ``2 / counters`` part of the rows.
 
