@@ -116,4 +116,6 @@ def settle(placed: DataFrame, texts: DataFrame, matcher: Callable[[], Matcher],
                     out.append((i, ids[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return materialize(rows.join(texts, "id").groupBy("key", "u", "v").applyInPandas(run, "a long, b long").distinct())
+    # As many tasks as there are shuffle partitions: cells are small to read and long to compare.
+    rows = rows.join(texts, "id").repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "u", "v")
+    return materialize(rows.groupBy("key", "u", "v").applyInPandas(run, "a long, b long").distinct())
