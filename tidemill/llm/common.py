@@ -88,8 +88,8 @@ def words_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: Ids that a broadcast may hold; 16 bytes each at most, so a few MB.
-BROADCAST_IDS = 200_000
+#: Rows of two numbers that a broadcast may hold: some 30 MB as a hash table.
+BROADCAST_IDS = 1_000_000
 
 
 def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

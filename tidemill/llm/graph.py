@@ -75,7 +75,7 @@ def link_buckets(
 class Matcher(Protocol):
     """Compares members of a block. ``near`` may only leave out what ``same`` would refuse."""
 
-    def item(self, text: str) -> Any: ...
+    def items(self, texts: list[str]) -> list: ...
 
     def index(self, items: list) -> Any: ...
 
@@ -104,12 +104,13 @@ def settle(placed: DataFrame, texts: DataFrame, matcher: Callable[[], Matcher],
                 x = root[x]
             return x
 
-        ours, all_ = cell[cell.apart == 1], cell[cell.apart == 0]
-        items = [m.item(t) for t in all_.text]
+        ours, all_ = cell[cell["apart"] == 1], cell[cell["apart"] == 0]
+        items, outside = m.items(list(all_.text)), m.items(list(ours.text))
+        if not outside or not items:
+            return pd.DataFrame(out, columns=["a", "b"])
         index = m.index(items)
         ids, parts = all_.id.to_numpy(), all_.component.to_numpy()
-        for i, part, text in zip(ours.id, ours.component, ours.text, strict=True):
-            mine = m.item(text)
+        for i, part, mine in zip(ours.id, ours.component, outside, strict=True):
             for j in m.near(mine, index):
                 if (x := find(part)) != (y := find(parts[j])) and m.same(mine, items[j]):
                     root[max(x, y)] = min(x, y)

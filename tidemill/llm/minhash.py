@@ -167,6 +167,9 @@ class Shingles:
         s = shingles(self.numbers.of(plain(text).split()), self.shingle)
         return s, labelled(s)
 
+    def items(self, texts: list[str]) -> list:
+        return [self.item(t) for t in texts]
+
     def index(self, items: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(s) for s, _ in items], dtype=np.int64)
         every, owner = np.concatenate([x for _, x in items]), np.repeat(np.arange(len(items)), sizes)
