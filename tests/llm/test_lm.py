@@ -55,6 +55,32 @@ def test_counts_cover_all_documents(spark, corpus):
     assert lm.bucket_counts(corpus).sum() == sum(len(plain(r.text).split()) for r in corpus.collect())
 
 
+def test_words_are_counted_exactly(spark):
+    """A rare word does not get the frequency of a frequent one, whatever their hashes share."""
+    import xxhash
+
+    low = lambda w: xxhash.xxh3_64_intdigest(w.encode()) % (1 << 16)
+    often = [f"often{i}" for i in range(60)]
+    rare = next(w for w in (f"rare{i}" for i in range(10_000_000)) if low(w) == low(often[0]))
+    rows = [(i, " ".join(often)) for i in range(200)] + [(200, rare)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.train(docs, rounds=1)
+    counts = {bytes(r.word).decode(): r.n for r in lm.word_counts(docs).collect()}
+    assert counts == {w: 200 for w in often} | {rare: 1}
+    assert len({r.word for r in model.words.collect()}) == 61
+    alone = {bytes(r.word).decode(): r.log for r in model.words.collect()}
+    of = {w: model.class_of(w.encode()) for w in counts}
+    for w, n in counts.items():
+        assert np.isclose(alone[w], np.log((n + 1) / (1 + sum(counts[x] + 1 for x in counts if of[x] == of[w]))))
+    # Three words by themselves, one of them unknown: classes from the network, words from the counts.
+    test = spark.createDataFrame([(0, often[59]), (1, rare), (2, "unknown")], "doc_id long, text string")
+    out = {r.doc_id: r.log_prob for r in lm.score(test, model).collect()}
+    around = np.full((lm.WIDTH, 1), model.edge, dtype=np.uint8)
+    for i, w in enumerate([often[59], rare, "unknown"]):
+        c = model.class_of(w.encode())
+        assert np.isclose(out[i], model.network.logs(around, np.array([c]))[0] + alone.get(w, model.unseen[c]), atol=1e-4)
+
+
 def test_odd_tables(corpus, nothing, cluttered):
     model = lm.train(corpus, rounds=2)
     rows = lm.score(corpus, model).collect()

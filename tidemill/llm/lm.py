@@ -1,12 +1,13 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A small network sees the two tokens on either side of a place and predicts the token there; a document's score is the
-sum of these conditional log-probabilities over all its tokens, each masked in turn. Tokens are words; a word falls
-into one of 65,536 buckets by its hash and a bucket into one of ``CLASSES`` classes: the most frequent buckets are a
-class each, the others share the rest by rank. The network predicts the class, and corpus frequencies give the bucket
-within its class.
+sum of these conditional log-probabilities over all its tokens, each masked in turn. Tokens are words, and a word falls
+into one of ``CLASSES`` classes: the most frequent words are a class each, the others share the rest by hash. The network
+predicts the class, and corpus frequencies give the word within its class.
 
-What is gathered covers all documents: bucket counts are summed over the whole corpus, and training is one pass over
+What is gathered covers all documents and grows with them: every word of the corpus is counted exactly, in a distributed
+table that is joined with the words of the documents at scoring; only words that make up a share of ``COMMON`` or more
+(so their number is bounded by the share) reach the driver and are sent. Training is one pass over
 every document in ``ROUNDS`` shares by the hash of its id. In each round every task trains on its part from the same
 weights, and the results are averaged by the number of tokens (by weight, in a shuffle). Only the averages, of fixed
 size, reach the driver.
@@ -17,18 +18,26 @@ whole, in pieces of places; rows that repeat are scored each; a null doc_id is i
 
 from __future__ import annotations
 
+import copy
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, table
+from .common import map_rows, materialize, table
 from .textual import Numbers, plain
 
-BUCKETS, CLASSES, HIDDEN, SIDE, ROUNDS, BATCH, RATE = 1 << 16, 96, 24, 2, 4, 4096, 0.05
+CLASSES, HIDDEN, SIDE, ROUNDS, BATCH, RATE = 96, 24, 2, 4, 4096, 0.05
 WIDTH = 2 * SIDE
+#: Share of all tokens from which a word is sent with the model: words with less can't crowd a task of a join.
+COMMON = 1e-4
+#: Keys that rows of one text are dealt to.
+SALTS = 16
 
 
 class Network:
@@ -98,44 +107,89 @@ def windows(docs: list[np.ndarray], edge: int) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([run[at + d] for d in range(-SIDE, SIDE + 1) if d]), run[at]
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How many words of all documents are in each bucket."""
-    bounded_batches(docs.sparkSession)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word is in all documents."""
+
+    def make():  # noqa: ANN202
+        def step(x: dict[str, list]) -> dict[str, list]:
+            found = Counter(w for t in x["text"] for w in plain(t).split())
+            return {"word": list(found), "n": list(found.values())}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, sums = Numbers(), np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            words = [numbers.of(plain(t).split()) for t in batch.column(0).to_pylist()]
-            sums += np.bincount((np.concatenate(words) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        there = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(sums[there], pa.int64())], ["bucket", "n"])
+        return step
+
+    return materialize(map_rows(docs.select("text"), make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for b, n in docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        out[b] = n
-    return out
+
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """The counts alone, each word in a bucket of its own, for corpora that fit the driver (tests)."""
+    return np.array([r.n for r in word_counts(docs).select("n").collect()], dtype=np.int64)
 
 
 class Model:
-    """Classes of buckets, log-probabilities of buckets in their classes, and the network: some 700 KB."""
-
-    def __init__(self, counts: np.ndarray, classes: int = CLASSES) -> None:
-        order = np.argsort(-counts, kind="stable")
-        alone = classes // 2
-        self.class_of = np.empty(len(counts), dtype=np.uint8)
-        self.class_of[order[:alone]] = np.arange(alone)
-        self.class_of[order[alone:]] = alone + np.arange(len(counts) - alone) % (classes - alone)
-        inside = counts + 1.0
-        self.within = np.log(inside / np.bincount(self.class_of, weights=inside, minlength=classes)[self.class_of]).astype(np.float32)
+    """The class of any word, log-probabilities of common words in their classes, and the network: sent to every task.
+
+    ``words`` (word, log) has the same for all words of the corpus; ``unseen`` is for any other word, by class."""
+
+    def __init__(self, common: dict[bytes, int], classes: int = CLASSES) -> None:
+        self.alone = {w: i for i, w in enumerate(sorted(common, key=lambda w: (-common[w], w))[: classes // 2])}
+        self.classes = classes
         self.network, self.edge = Network(classes), classes
+        self.common: dict[bytes, float] = {}
+        self.unseen = np.zeros(classes)
+        self.words: DataFrame | None = None
+
+    def class_of(self, word: bytes) -> int:
+        if (c := self.alone.get(word)) is None:
+            c = self.classes // 2 + xxhash.xxh3_64_intdigest(word) % (self.classes - self.classes // 2)
+        return c
+
+    def known(self) -> Classes:
+        return Classes(self)
+
+
+class Classes(dict):
+    """Word to class; forgets all when it holds too many."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > Numbers.most:
+            self.clear()
+        self[word] = c = self.model.class_of(word)
+        return c
 
-    def buckets(self, numbers: Numbers, text: str | None) -> np.ndarray:
-        return (numbers.of(plain(text).split()) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint8, count=len(words))
+
+
+def counted(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """An untrained model, and (word, log): the log-probability of every word of the corpus within its class."""
+    counts = word_counts(docs)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # 1 / COMMON words at most.
+    common = {bytes(r.word): r.n for r in counts.where(F.col("n") >= COMMON * total).collect()}
+    model = Model(common)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():  # noqa: ANN202
+        known = sent.value.known()
+        return lambda x: {**x, "class": known.of(x["word"])}
+
+    placed = materialize(map_rows(counts, make, "word binary, n long, class int"))
+    # A count of one more for every word, and one for all words that aren't there; in classes of one word too.
+    sums = np.ones(model.classes)
+    for c, n in placed.groupBy("class").agg(F.sum(F.col("n") + 1)).collect():
+        sums[c] += n
+    model.unseen = -np.log(sums)
+    unseen = F.element_at(F.array(*(F.lit(float(x)) for x in model.unseen)), F.col("class") + 1)
+    model.common = {w: float(np.log(n + 1.0) + model.unseen[model.class_of(w)]) for w, n in common.items()}
+    return model, materialize(placed.select("word", (F.log(F.col("n") + 1.0) + unseen).alias("log")))
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
     """A model from all of ``docs`` (doc_id, text)."""
-    model = Model(bucket_counts(docs))
+    model, words = counted(docs)
     share = F.coalesce(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(rounds)), F.lit(0))
     sums: list[np.ndarray] | None = None
     for r in range(rounds):
@@ -143,10 +197,10 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             m, before = sent.value
-            net, numbers, done = Network().load(m.network.flat()), Numbers(), 0
+            net, known, done = Network().load(m.network.flat()), m.known(), 0
             square = [np.full_like(p, 1e-4) for p in net.parts] if before is None else [b.copy() for b in before]
             for batch in batches:
-                found = [m.class_of[m.buckets(numbers, t)] for t in batch.column(0).to_pylist()]
+                found = [known.of(plain(t).split()) for t in batch.column(0).to_pylist()]
                 found = [d for d in found if len(d)]
                 if not found:
                     continue
@@ -169,33 +223,67 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
             model.network.load(flat[:size])
             kept = Network().load(flat[size:])
             sums = [np.maximum(p, 0) for p in kept.parts]
+    model.words = words
     return model
 
 
+def rare(docs: DataFrame, sent: Broadcast, words: DataFrame) -> DataFrame:
+    """(digest, rare): of texts with words that aren't sent with the model, the sum of these words' log-probabilities."""
+
+    def make():  # noqa: ANN202
+        m = sent.value
+        known = m.known()
+
+        def step(x: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {"digest": [], "word": [], "times": [], "unseen": []}
+            for t in x["text"]:
+                every = plain(t).split()
+                found = Counter(w for w in every if w not in m.common)
+                out["digest"] += [xxhash.xxh3_128_digest(b" ".join(every))] * len(found)
+                out["word"] += found
+                out["times"] += found.values()
+                out["unseen"] += m.unseen[known.of(list(found))].tolist()
+            return out
+
+        return step
+
+    # A word of many copies of a text is one row for each of these and so not bounded by its share: not with copies gone.
+    each = map_rows(docs.select("text"), make, "digest binary, word binary, times long, unseen double").distinct()
+    logs = each.join(words, "word", "left").select("digest", (F.col("times") * F.coalesce("log", "unseen")).alias("x"))
+    return logs.groupBy("digest").agg(F.sum("x").alias("rare"))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, log_prob, score) of all rows of ``docs``; the score is the mean log-probability of a token."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    words, plainly = model.words, copy.copy(model)
+    plainly.words = None
+    sent = docs.sparkSession.sparkContext.broadcast(plainly)
 
     def make():  # noqa: ANN202
-        m, numbers = sent.value, Numbers()
+        m = sent.value
+        known = m.known()
 
         def step(x: dict[str, list]) -> dict[str, list]:
-            found = [m.buckets(numbers, t) for t in x["text"]]
-            lengths = np.array([len(d) for d in found])
+            texts = [plain(t).split() for t in x["text"]]
+            lengths = np.array([len(d) for d in texts])
             logs = np.zeros(lengths.sum() + 1)
             if len(logs) > 1:
-                around, here = windows([m.class_of[d] for d in found], m.edge)
+                around, here = windows([known.of(d) for d in texts], m.edge)
                 for i in range(0, len(here), BATCH):
                     logs[i : i + len(here[i : i + BATCH])] = m.network.logs(around[:, i : i + BATCH], here[i : i + BATCH])
-                logs[:-1] += m.within[np.concatenate(found)]
+                logs[:-1] += [m.common.get(w, 0.0) for d in texts for w in d]
             ends = np.cumsum(lengths)
             sums = np.where(lengths > 0, np.add.reduceat(logs, np.minimum(ends - lengths, len(logs) - 1)), 0.0)
-            mean = [float(s / n) if n else None for s, n in zip(sums, lengths, strict=True)]
-            return {"doc_id": x["doc_id"], "n_tokens": lengths, "log_prob": sums, "score": mean}
+            return {"doc_id": x["doc_id"], "digest": [xxhash.xxh3_128_digest(b" ".join(d)) for d in texts], "n_tokens": lengths, "log": sums}
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, log_prob double, score double")
+    rows = map_rows(docs.select("doc_id", "text"), make, "doc_id long, digest binary, n_tokens long, log double")
+    # Many rows may have one text: they are dealt to SALTS keys, and each has the sum.
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    sums = rare(docs, sent, words).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.join(sums, ["digest", "salt"], "left").withColumn("log_prob", F.col("log") + F.coalesce("rare", F.lit(0.0)))
+    return rows.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
