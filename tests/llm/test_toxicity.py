@@ -74,6 +74,16 @@ def test_quotation_counts_less():
     assert plain @ toxicity.PRIOR > quoted @ toxicity.PRIOR
 
 
+def test_window_of_late_finds():
+    """A dense passage counts after any number of scattered finds."""
+    f = Finder(Model(["snotwaffle"]))
+    scattered = ("snotwaffle " + "word " * 30) * 60
+    rng = random.Random(8)
+    for text in (scattered + "snotwaffle " * 9, " ".join(rng.choice(["snotwaffle", "word", "word", "word"]) for _ in range(500))):
+        at = [i for i, w in enumerate(text.split()) if w == "snotwaffle"]
+        assert np.isclose(f.features(text)[6], np.log(max(sum(abs(i - j) <= toxicity.WINDOW for j in at) for i in at)))
+
+
 def test_odd_tables(spark, corpus, nothing, cluttered):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 0)], "doc_id long, toxic int")
     for docs in (corpus, cluttered):

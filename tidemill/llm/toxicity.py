@@ -156,10 +156,14 @@ class Finder:
         if not hits:
             return [1.0, 0, 0, 0, 0, 0, 0]
         quoted = self.quoted(text, words, hits)
-        counts, nearby = [0, 0, 0], 0
+        counts, nearby, first, last = [0, 0, 0], 0, 0, 0
         for (i, k), q in zip(hits, quoted, strict=True):
             counts[2 if q else min(k, 1)] += 1
-            nearby = max(nearby, sum(abs(i - j) <= WINDOW for j, _ in hits[: 1 + 4 * WINDOW]))
+            while hits[first][0] < i - WINDOW:
+                first += 1
+            while last < len(hits) and hits[last][0] <= i + WINDOW:
+                last += 1
+            nearby = max(nearby, last - first)
         return [1.0, float(counts[0] > 0), *(math.log1p(n) for n in counts), math.sqrt(len(hits) / len(words)), math.log(max(1, nearby))]
 
     @staticmethod
