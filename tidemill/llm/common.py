@@ -72,7 +72,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
         for batch in batches:
             if batch.num_rows:
                 out = step({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kinds], schema=kinds)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in kinds], schema=kinds)
 
     return df.mapInArrow(run, schema)
 
@@ -108,3 +108,18 @@ def joined(df: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataF
 def semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is among ``ids``."""
     return joined(df, ids, on, "left_semi")
+
+
+#: A key is frequent if it has more than one of so many rows.
+FREQUENT = 1000
+
+
+def split_join(rows: DataFrame, side: DataFrame, on: str, n: str) -> DataFrame:
+    """Inner join in which no task gets all rows of a frequent key. ``side`` has one row a key and in ``n`` how many of
+    ``rows`` have it: the frequent keys, ``FREQUENT`` at most, are broadcast, and only the others shuffled."""
+    side = materialize(side)
+    total = rows.count()
+    frequent = side.where(F.col(n) * FREQUENT > total)
+    early = rows.join(F.broadcast(frequent), on)
+    rest = rows.join(F.broadcast(frequent.select(on)), on, "left_anti").join(side.where(F.col(n) * FREQUENT <= total), on)
+    return early.unionByName(rest).drop(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,16 +42,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_buckets(
-    entries: DataFrame, facts: DataFrame, may: Callable[[Column, Column], Column], texts_of: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame, DataFrame], DataFrame], matcher: Callable[[], Matcher]
+    entries: DataFrame, facts: DataFrame, may: Callable[[Column, Column], Column], texts_of: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame, DataFrame], DataFrame], matcher: Callable[[], Matcher],
+    screen: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
 ) -> DataFrame:
-    """Links (a, b) that connect all members of a bucket that any chain of links within buckets connects.
+    """(id, component) of all ids that any chain of links within buckets connects with another.
 
     ``entries`` has (key, id); members of one key are candidates for each other if ``may`` holds of their facts
     (``facts``: id, fact). ``texts_of(ids)`` gives (id, text) for all ids that may be compared.
     First, all members are paired with the smallest id of their bucket: one pair a member. ``check`` gives those that
     are linked. Buckets whose members then are in one component are done. In the others, every member outside the
     hub's component meets all members in blocks (``settle``), so no pair is lost to a bucket's size, and none is
-    ever a row.
+    ever a row. With ``screen`` (``may`` for all pairs of two frames of facts), members meet without their texts first,
+    and only those that may be linked with one of another component meet with them.
     """
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"))
     buckets = materialize(buckets.where("n > 1"))
@@ -61,15 +64,21 @@ def link_buckets(
     left, right = (facts.select(F.col("id").alias(x), F.col("fact").alias(f"fact_{x}")) for x in ("a", "b"))
     pairs = pairs.join(left, "a").join(right, "b").where(may(F.col("fact_a"), F.col("fact_b"))).select("a", "b")
     pairs = materialize(pairs)
-    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct())
-    links = materialize(check(pairs, texts))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    texts = texts_of((ids if screen else ids.union(members.select("id"))).distinct())
+    parts = materialize(components(check(pairs, texts)))
     if members.isEmpty():
-        return links
-    parts = components(links)
+        return parts
     placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     hubs = parts.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
     placed = materialize(placed.join(hubs, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub")))
-    return links.unionByName(settle(placed, texts, matcher))
+    if screen:
+        placed = materialize(placed.join(screened(placed, facts, screen), ["key", "id"]))
+        if placed.isEmpty():
+            return parts
+        texts = texts_of(placed.select("id").distinct())
+    more = settle(placed, texts, matcher)
+    return parts if more.isEmpty() else components(more.unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
 class Matcher(Protocol):
@@ -84,17 +93,39 @@ class Matcher(Protocol):
     def same(self, a: Any, b: Any) -> bool: ...
 
 
-def settle(placed: DataFrame, texts: DataFrame, matcher: Callable[[], Matcher], block: int = BLOCK) -> DataFrame:
-    """Links between components of a bucket. ``placed`` has (key, id, component, hub_component)."""
+def cells(placed: DataFrame, block: int) -> DataFrame:
+    """(key, id, component, u, v, apart): each block of members outside the hub's component (u, ``apart`` 1) beside each
+    block of all members (v, ``apart`` 0). ``placed`` has (key, id, component, hub_component)."""
     apart = F.col("component") != F.col("hub_component")
-    sizes = placed.groupBy("key").agg(F.ceil(F.sum(apart.cast("int")) / block).cast("int").alias("us"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("vs")).where("us > 0")
+    sizes = placed.groupBy("key").agg(F.ceil(F.sum(apart.cast("int")) / block).cast("long").alias("us"), F.ceil(F.count(F.lit(1)) / block).cast("long").alias("vs")).where("us > 0")
     placed = placed.join(sizes, "key")
     h = F.xxhash64("id", "key")
-    # Each block of members apart (u) meets each block of all members (v).
-    everyone = placed.select("key", "id", "component", F.explode(F.sequence(F.lit(0), F.col("us") - 1)).alias("u"), F.pmod(h, F.col("vs")).alias("v"), F.lit(0).alias("apart"))
-    outside = placed.where(apart).select("key", "id", "component", F.pmod(h, F.col("us")).alias("u"), F.explode(F.sequence(F.lit(0), F.col("vs") - 1)).alias("v"), F.lit(1).alias("apart"))
-    rows = everyone.withColumn("u", F.col("u").cast("long")).unionByName(outside.withColumn("v", F.col("v").cast("long")))
-    bounded_batches(placed.sparkSession)
+    everyone = placed.select("key", "id", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("us") - 1)).alias("u"), F.pmod(h, F.col("vs")).alias("v"), F.lit(0).alias("apart"))
+    outside = placed.where(apart).select("key", "id", "component", F.pmod(h, F.col("us")).alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("vs") - 1)).alias("v"), F.lit(1).alias("apart"))
+    return everyone.unionByName(outside)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Cells by task: as many tasks as there are shuffle partitions, since cells are small to read and long to compare."""
+    bounded_batches(rows.sparkSession)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "u", "v")
+
+
+def screened(placed: DataFrame, facts: DataFrame, screen: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], block: int = 2 * BLOCK) -> DataFrame:
+    """(key, id) of members that may be linked with a member of another component, one of the two outside the hub's."""
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        ours, all_ = cell[cell["apart"] == 1], cell[cell["apart"] == 0]
+        good = screen(ours, all_) & (ours["component"].to_numpy()[:, None] != all_["component"].to_numpy()[None, :])
+        ids = np.concatenate([ours["id"].to_numpy()[good.any(axis=1)], all_["id"].to_numpy()[good.any(axis=0)]])
+        return pd.DataFrame({"key": np.full(len(ids), cell["key"].iloc[0]), "id": ids})
+
+    rows = dealt(cells(placed, block).join(facts.select("id", "fact.*"), "id"))
+    return rows.groupBy("key", "u", "v").applyInPandas(run, "key long, id long").distinct()
+
+
+def settle(placed: DataFrame, texts: DataFrame, matcher: Callable[[], Matcher], block: int = BLOCK) -> DataFrame:
+    """Links between components of a bucket."""
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         m, root, out = matcher(), {}, []
@@ -117,6 +148,5 @@ def settle(placed: DataFrame, texts: DataFrame, matcher: Callable[[], Matcher],
                     out.append((i, ids[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    # As many tasks as there are shuffle partitions: cells are small to read and long to compare.
-    rows = rows.join(texts, "id").repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "u", "v")
+    rows = dealt(cells(placed, block).join(texts, "id"))
     return materialize(rows.groupBy("key", "u", "v").applyInPandas(run, "a long, b long").distinct())

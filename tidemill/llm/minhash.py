@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, semi, table
-from .graph import components, link_buckets
+from .graph import link_buckets
 from .textual import Numbers, mixed, plain, shingles
 
 SHINGLE, SIMILARITY, LENGTH, ROWS, BANDS = 5, 0.8, 2, 3, 32
@@ -226,11 +226,11 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
         chosen = semi(docs.withColumnRenamed("doc_id", "id"), ids, "id")
         return materialize(chosen.groupBy("id").agg(F.min("text").alias("text")))
 
-    links = link_buckets(entries, facts, lambda x, y: F.least(x, y) >= least * F.greatest(x, y), texts_of, lambda pairs, texts: check_pairs(pairs, texts, least=least), lambda: Shingles(least=least))
+    groups = link_buckets(entries, facts, lambda x, y: F.least(x, y) >= least * F.greatest(x, y), texts_of, lambda pairs, texts: check_pairs(pairs, texts, least=least), lambda: Shingles(least=least))
     copies = first.select("digest", F.col("doc_id").alias("copy_id"))
     out = rows.select("doc_id", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(copies, "digest", "left").drop("digest")
     out = out.withColumn("copy_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("copy_id", "doc_id")))
-    out = out.join(components(links), F.col("copy_id") == F.col("id"), "left")
+    out = out.join(groups, F.col("copy_id") == F.col("id"), "left")
     return out.select("doc_id", "copy_id", F.coalesce("component", "copy_id").alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
