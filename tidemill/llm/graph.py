@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_buckets(
     entries: DataFrame, facts: DataFrame, may: Callable[[Column, Column], Column], texts_of: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame, DataFrame], DataFrame], matcher: Callable[[], Matcher],
-    screen: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray] | None = None,
+    screen: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """(id, component) of all ids that any chain of links within buckets connects with another.
 
@@ -52,7 +53,7 @@ def link_buckets(
     First, all members are paired with the smallest id of their bucket: one pair a member. ``check`` gives those that
     are linked. Buckets whose members then are in one component are done. In the others, every member outside the
     hub's component meets all members in blocks (``settle``), so no pair is lost to a bucket's size, and none is
-    ever a row. With ``screen`` (``may`` for all pairs of two frames of facts), members meet without their texts first,
+    ever a row. With ``screen`` (``may`` for pairs of rows of a frame of facts), members meet without their texts first,
     and only those that may be linked with one of another component meet with them.
     """
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"))
@@ -105,48 +106,123 @@ def cells(placed: DataFrame, block: int) -> DataFrame:
     return everyone.unionByName(outside)
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Cells by task: as many tasks as there are shuffle partitions, since cells are small to read and long to compare."""
-    bounded_batches(rows.sparkSession)
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "u", "v")
+def by_cell(rows: DataFrame, run: Callable[[], Callable[[pa.Table], pa.Table | None]], schema: str) -> DataFrame:
+    """Cells by task, whole cells to a call of ``run()``, as many as a batch or two have; (key, u, v, apart) in order.
 
+    As many tasks as there are shuffle partitions: cells are small to read and long to compare."""
+    bounded_batches(rows.sparkSession, 4 * BLOCK)
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "u", "v").sortWithinPartitions("key", "u", "v", F.desc("apart"), "id")
 
-def screened(placed: DataFrame, facts: DataFrame, screen: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], block: int = 2 * BLOCK) -> DataFrame:
-    """(key, id) of members that may be linked with a member of another component, one of the two outside the hub's."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, held = run(), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = _starts(pa.Table.from_batches([batch]))
+            if held and not _same(held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)):
+                starts = np.concatenate([[0], starts])
+            if len(starts):  # what comes before the last cell that begins here is whole
+                whole = [*held, batch.slice(0, starts[-1])]
+                held = []
+                if any(x.num_rows for x in whole):
+                    yield from work(pa.Table.from_batches(whole)).to_batches()
+                batch = batch.slice(starts[-1])
+            held.append(batch)
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    return rows.mapInArrow(step, schema)
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Rows at which a cell begins, but for the first row."""
+    new = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+    for c in ("key", "u", "v"):
+        x = table[c].to_numpy()
+        new |= x[1:] != x[:-1]
+    return np.flatnonzero(new) + 1
+
+
+def _same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+    return all(a[c][0].as_py() == b[c][0].as_py() for c in ("key", "u", "v"))
 
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        ours, all_ = cell[cell["apart"] == 1], cell[cell["apart"] == 0]
-        good = screen(ours, all_) & (ours["component"].to_numpy()[:, None] != all_["component"].to_numpy()[None, :])
-        ids = np.concatenate([ours["id"].to_numpy()[good.any(axis=1)], all_["id"].to_numpy()[good.any(axis=0)]])
-        return pd.DataFrame({"key": np.full(len(ids), cell["key"].iloc[0]), "id": ids})
 
-    rows = dealt(cells(placed, block).join(facts.select("id", "fact.*"), "id"))
-    return rows.groupBy("key", "u", "v").applyInPandas(run, "key long, id long").distinct()
+def _sides(table: pa.Table) -> Iterator[tuple[int, int, int]]:
+    """Of each cell, where its first side, its second and it end."""
+    starts = np.concatenate([[0], _starts(table), [table.num_rows]])
+    ours = np.concatenate([[0], np.cumsum(table["apart"].to_numpy())])
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        yield s, s + int(ours[e] - ours[s]), e
+
+
+#: Pairs of members that are screened at a time.
+AT_ONCE = 1 << 20
+
+
+def screened(placed: DataFrame, facts: DataFrame, screen: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray], block: int = 2 * BLOCK) -> DataFrame:
+    """(key, id) of members that may be linked with a member of another component, one of the two outside the hub's."""
+
+    def run() -> Callable[[pa.Table], pa.Table]:
+        def work(table: pa.Table) -> pa.Table:
+            cell, good = table.to_pandas(), np.zeros(table.num_rows, dtype=bool)
+            parts = cell["component"].to_numpy()
+
+            def look(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+                i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                apart = parts[i] != parts[j]
+                i, j = i[apart], j[apart]
+                near = screen(cell, i, j)
+                good[i[near]] = good[j[near]] = True
+
+            waiting, size = [], 0
+            for s, m, e in _sides(table):
+                step = max(1, AT_ONCE // max(1, e - m))
+                for k in range(s, m, step):
+                    ours = np.arange(k, min(m, k + step))
+                    waiting.append((np.repeat(ours, e - m), np.tile(np.arange(m, e), len(ours))))
+                    size += len(waiting[-1][0])
+                    if size >= AT_ONCE:
+                        look(waiting)
+                        waiting, size = [], 0
+            if size:
+                look(waiting)
+            return table.select(["key", "id"]).filter(pa.array(good))
+
+        return work
+
+    return by_cell(cells(placed, block).join(facts.select("id", "fact.*"), "id"), run, "key long, id long").distinct()
 
 
 def settle(placed: DataFrame, texts: DataFrame, matcher: Callable[[], Matcher], block: int = BLOCK) -> DataFrame:
     """Links between components of a bucket."""
 
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        m, root, out = matcher(), {}, []
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        ours, all_ = cell[cell["apart"] == 1], cell[cell["apart"] == 0]
-        items, outside = m.items(list(all_.text)), m.items(list(ours.text))
-        if not outside or not items:
-            return pd.DataFrame(out, columns=["a", "b"])
-        index = m.index(items)
-        ids, parts = all_.id.to_numpy(), all_.component.to_numpy()
-        for i, part, mine in zip(ours.id, ours.component, outside, strict=True):
-            for j in m.near(mine, index):
-                if (x := find(part)) != (y := find(parts[j])) and m.same(mine, items[j]):
-                    root[max(x, y)] = min(x, y)
-                    out.append((i, ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    rows = dealt(cells(placed, block).join(texts, "id"))
-    return materialize(rows.groupBy("key", "u", "v").applyInPandas(run, "a long, b long").distinct())
+    def run() -> Callable[[pa.Table], pa.Table]:
+        m = matcher()
+
+        def work(table: pa.Table) -> pa.Table:
+            out: dict[str, list[int]] = {"a": [], "b": []}
+            ids, parts, text = table["id"].to_pylist(), table["component"].to_pylist(), table["text"].to_pylist()
+            for s, t, e in _sides(table):
+                if s == t or t == e:
+                    continue
+                root: dict[int, int] = {}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while root.get(x, x) != x:
+                        x = root[x]
+                    return x
+
+                items = m.items(text[t:e])
+                index = m.index(items)
+                for i, mine in zip(range(s, t), m.items(text[s:t]), strict=True):
+                    for j in m.near(mine, index):
+                        if (x := find(parts[i])) != (y := find(parts[t + j])) and m.same(mine, items[j]):
+                            root[max(x, y)] = min(x, y)
+                            out["a"].append(ids[i])
+                            out["b"].append(ids[t + j])
+            return pa.table(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+        return work
+
+    rows = cells(placed, block).join(texts, "id").select("key", "u", "v", "apart", "id", "component", "text")
+    return materialize(by_cell(rows, run, "a long, b long").distinct())
