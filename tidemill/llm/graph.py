@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import Any, Protocol
 
 import numpy as np
@@ -52,9 +53,9 @@ def link_buckets(
     (``facts``: id, fact). ``texts_of(ids)`` gives (id, text) for all ids that may be compared.
     First, all members are paired with the smallest id of their bucket: one pair a member. ``check`` gives those that
     are linked. Buckets whose members then are in one component are done. In the others, every member outside the
-    hub's component meets all members in blocks (``settle``), so no pair is lost to a bucket's size, and none is
-    ever a row. With ``screen`` (``may`` for pairs of rows of a frame of facts), members meet without their texts first,
-    and only those that may be linked with one of another component meet with them.
+    hub's component meets all members in blocks, so no pair is lost to a bucket's size, and its pairs are no rows but
+    for some a member at most. With ``screen`` (``may`` for pairs of rows of a frame of facts), members meet without their texts first
+    (``screened``), and only those that may be linked with one of another component meet with them (``settle``).
     """
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"))
     buckets = materialize(buckets.where("n > 1"))
@@ -73,12 +74,18 @@ def link_buckets(
     placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     hubs = parts.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
     placed = materialize(placed.join(hubs, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub")))
+    more = []
     if screen:
-        placed = materialize(placed.join(screened(placed, facts, screen), ["key", "id"]))
-        if placed.isEmpty():
-            return parts
-        texts = texts_of(placed.select("id").distinct())
-    more = settle(placed, texts, matcher)
+        found = materialize(screened(placed, facts, screen))
+        many = found.where("b is null").select("key", F.col("a").alias("id")).distinct()
+        # Pairs of several buckets are looked at once.
+        few = materialize(found.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+        texts = texts_of(few.select(F.col("a").alias("id")).union(few.select("b")).union(many.select("id")).distinct())
+        more.append(check(few, texts))
+        placed = materialize(placed.join(many, ["key", "id"]))
+    if not screen or not placed.isEmpty():
+        more.append(settle(placed, texts, matcher))
+    more = materialize(reduce(DataFrame.unionByName, more))
     return parts if more.isEmpty() else components(more.unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
@@ -155,27 +162,37 @@ def _sides(table: pa.Table) -> Iterator[tuple[int, int, int]]:
         yield s, s + int(ours[e] - ours[s]), e
 
 
-#: Pairs of members that are screened at a time.
-AT_ONCE = 1 << 20
+#: Pairs of members that are screened at a time, and pairs for each member up to which a cell gives pairs.
+AT_ONCE, FEW_PAIRS = 1 << 20, 8
 
 
 def screened(placed: DataFrame, facts: DataFrame, screen: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray], block: int = 2 * BLOCK) -> DataFrame:
-    """(key, id) of members that may be linked with a member of another component, one of the two outside the hub's."""
+    """(key, a, b): pairs of members of different components that may be linked, one of the two outside the hub's.
+
+    A cell with over ``FEW_PAIRS`` such pairs a member gives its members that have a partner instead, with a null b."""
 
     def run() -> Callable[[pa.Table], pa.Table]:
         def work(table: pa.Table) -> pa.Table:
-            cell, good = table.to_pandas(), np.zeros(table.num_rows, dtype=bool)
-            parts = cell["component"].to_numpy()
+            rows, good = table.to_pandas(), np.zeros(table.num_rows, dtype=bool)
+            parts, ids, keys = (rows[c].to_numpy() for c in ("component", "id", "key"))
+            sides = list(_sides(table))
+            cell = np.repeat(np.arange(len(sides)), [e - s for s, _, e in sides])
+            most, seen = FEW_PAIRS * np.bincount(cell), np.zeros(len(sides), dtype=np.int64)
+            kept = [(np.zeros(0, np.int64),) * 2]
 
             def look(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
                 i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 apart = parts[i] != parts[j]
                 i, j = i[apart], j[apart]
-                near = screen(cell, i, j)
-                good[i[near]] = good[j[near]] = True
+                near = screen(rows, i, j)
+                i, j = i[near], j[near]
+                good[i] = good[j] = True
+                seen[:] += np.bincount(cell[i], minlength=len(sides))
+                few = seen[cell[i]] <= most[cell[i]]
+                kept.append((i[few], j[few]))
 
             waiting, size = [], 0
-            for s, m, e in _sides(table):
+            for s, m, e in sides:
                 step = max(1, AT_ONCE // max(1, e - m))
                 for k in range(s, m, step):
                     ours = np.arange(k, min(m, k + step))
@@ -186,11 +203,17 @@ def screened(placed: DataFrame, facts: DataFrame, screen: Callable[[pd.DataFrame
                         waiting, size = [], 0
             if size:
                 look(waiting)
-            return table.select(["key", "id"]).filter(pa.array(good))
+            many = np.flatnonzero(good & (seen > most)[cell])
+            i, j = (np.concatenate(x) for x in zip(*kept, strict=True))
+            few = (seen <= most)[cell[i]]
+            i, j = i[few], j[few]
+            a, b = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
+            b = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(many), pa.int64())])
+            return pa.table({"key": np.concatenate([keys[i], keys[many]]), "a": np.concatenate([a, ids[many]]), "b": b})
 
         return work
 
-    return by_cell(cells(placed, block).join(facts.select("id", "fact.*"), "id"), run, "key long, id long").distinct()
+    return by_cell(cells(placed, block).join(facts.select("id", "fact.*"), "id"), run, "key long, a long, b long")
 
 
 def settle(placed: DataFrame, texts: DataFrame, matcher: Callable[[], Matcher], block: int = BLOCK) -> DataFrame:
