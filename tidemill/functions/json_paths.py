@@ -18,11 +18,19 @@ from pyspark.sql import functions as F
 OPERATORS = ("equals", "not_equals", "greater_than", "greater_than_or_equal", "less_than", "less_than_or_equal", "contains", "exists", "not_exists")
 
 
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it.
+
+    Filters and branches would compute it again for each time; the variable of a lambda is a value."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def decoded(text: Column) -> Column:
     """The variant of a JSON object; empty text and a literal null are ``{}``; null where it can't be decoded."""
-    plain = F.when((F.length(F.trim(text)) == 0) | text.isNull() | (F.trim(text) == "null"), F.lit("{}")).otherwise(text)
-    v = F.try_parse_json(plain)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    trimmed = F.trim(text, F.lit(" \t\n\r"))
+    # What parses and begins with a brace is an object.
+    plain = bound(trimmed, lambda t: F.when(t.isNull() | t.isin("", "null"), F.lit("{}")).when(t.startswith("{"), t))
+    return F.try_parse_json(plain)
 
 
 def variant_path(path: str) -> str:
@@ -36,9 +44,9 @@ def get(v: Column, path: str) -> Column:
 
 def kind(x: Column) -> Column:
     """number, string, boolean, null, array or object; SQL null where missing."""
-    s = F.schema_of_variant(x)
-    return (
-        F.when(s.isNull(), None).when(s == "VOID", "null").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").otherwise("number")
+    return bound(
+        F.schema_of_variant(x),
+        lambda s: F.when(s.isNull(), None).when(s == "VOID", "null").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").otherwise("number"),
     )
 
 
@@ -60,6 +68,10 @@ def spoken(value: Any) -> str:
 
 def equal(x: Column, value: Any) -> Column:
     """Whether a variant equals a constant of the same JSON type; never null."""
+    return bound(x, lambda x: _equal(x, value))
+
+
+def _equal(x: Column, value: Any) -> Column:
     if isinstance(value, bool):
         same = (kind(x) == "boolean") & (F.try_variant_get(x, "$", "boolean") == F.lit(value))
     elif isinstance(value, (int, float)):
@@ -78,15 +90,18 @@ def compare(v: Column, path: str, operator: str, value: Any = None) -> Column:
     """The predicate ``path operator value`` over a decoded record; false where the record couldn't be decoded."""
     if operator not in OPERATORS:
         raise ValueError(f"unsupported filter operator {operator!r}")
-    x = get(v, path)
     if operator == "exists":
-        return x.isNotNull()
+        return get(v, path).isNotNull()
     if operator == "not_exists":
-        return v.isNotNull() & x.isNull()
+        return bound(v, lambda v: v.isNotNull() & get(v, path).isNull())
+    return bound(get(v, path), lambda x: _test(x, operator, value))
+
+
+def _test(x: Column, operator: str, value: Any) -> Column:
     if operator == "equals":
-        return equal(x, value)
+        return _equal(x, value)
     if operator == "not_equals":
-        return x.isNotNull() & ~equal(x, value)
+        return x.isNotNull() & ~_equal(x, value)
     if operator == "contains":
         within = (kind(x) == "string") & (F.instr(F.try_variant_get(x, "$", "string"), spoken(value)) > 0 if spoken(value) else F.lit(True))
         member = (kind(x) == "array") & F.exists(F.try_variant_get(x, "$", "array<variant>"), lambda y: equal(y, value))
@@ -105,8 +120,7 @@ def compare(v: Column, path: str, operator: str, value: Any = None) -> Column:
 
 def number(v: Column, path: str) -> Column:
     """The double of a JSON number at a path, 0 for anything else: what sums add."""
-    x = get(v, path)
-    return F.coalesce(F.when(kind(x) == "number", F.try_variant_get(x, "$", "double")), F.lit(0.0))
+    return bound(get(v, path), lambda x: F.coalesce(F.when(kind(x) == "number", F.try_variant_get(x, "$", "double")), F.lit(0.0)))
 
 
 def _members(v: Column) -> Column:
@@ -124,10 +138,12 @@ def put(v: Column, path: str, x: Column) -> Column:
     head, _, rest = path.partition(".")
     if not rest:
         return _with(v, head, x)
-    inner = F.try_variant_get(v, variant_path(head), "variant")
-    new = put(F.coalesce(inner, F.parse_json(F.lit("{}"))), rest, x)
-    free = inner.isNull() | (kind(inner) == "object") & _free(inner, rest)
-    return F.when(free, _with(v, head, new)).otherwise(v)
+
+    def below(v: Column, inner: Column) -> Column:
+        free = inner.isNull() | (kind(inner) == "object") & _free(inner, rest)
+        return F.when(free, _with(v, head, put(F.coalesce(inner, F.parse_json(F.lit("{}"))), rest, x))).otherwise(v)
+
+    return bound(v, lambda v: bound(get(v, head), lambda inner: below(v, inner)))
 
 
 def _free(v: Column, path: str) -> Column:
@@ -135,8 +151,7 @@ def _free(v: Column, path: str) -> Column:
     head, _, rest = path.partition(".")
     if not rest:
         return F.lit(True)
-    inner = F.try_variant_get(v, variant_path(head), "variant")
-    return inner.isNull() | (kind(inner) == "object") & _free(inner, rest)
+    return bound(get(v, head), lambda inner: inner.isNull() | (kind(inner) == "object") & _free(inner, rest))
 
 
 def delete(v: Column, path: str) -> Column:
@@ -144,8 +159,7 @@ def delete(v: Column, path: str) -> Column:
     head, _, rest = path.partition(".")
     if not rest:
         return _with(v, head, None)
-    inner = F.try_variant_get(v, variant_path(head), "variant")
-    return F.when(kind(inner) == "object", _with(v, head, delete(inner, rest))).otherwise(v)
+    return bound(v, lambda v: bound(get(v, head), lambda inner: F.when(kind(inner) == "object", _with(v, head, delete(inner, rest))).otherwise(v)))
 
 
 def rename(v: Column, old: str, new: str) -> Column:
@@ -153,17 +167,24 @@ def rename(v: Column, old: str, new: str) -> Column:
     by something that is no object."""
     if old == new:
         return v
-    x = get(v, old)
-    return F.when(x.isNotNull() & _free(v, new), delete(put(v, new, x), old) if not new.startswith(old + ".") else put(delete(v, old), new, x)).otherwise(v)
+    inside = new.startswith(old + ".")
+
+    def moved(v: Column, x: Column) -> Column:
+        there = put(delete(v, old), new, x) if inside else delete(put(v, new, x), old)
+        return F.when(x.isNotNull() & _free(v, new), there).otherwise(v)
+
+    return bound(v, lambda v: bound(get(v, old), lambda x: moved(v, x)))
 
 
 def staged(df: DataFrame, steps: list[Callable[[Column], Column]], value: str = "value", out: Callable[[Column], Column] = F.to_json) -> DataFrame:
-    """``df`` with its JSON edited step by step, each a column of its own, so that no step is computed twice inside
-    the next; what can't be decoded stays as it is."""
-    df = df.withColumn("__v", decoded(F.col(value)))
-    for step in steps:
-        df = df.withColumn("__v", step(F.col("__v")))
-    return df.withColumn(value, F.when(F.col("__v").isNotNull(), out(F.col("__v"))).otherwise(F.col(value))).drop("__v")
+    """``df`` with its JSON edited step by step, parsed once; what can't be decoded stays as it is."""
+
+    def edited(v: Column) -> Column:
+        for step in steps:
+            v = step(v)
+        return out(v)
+
+    return df.withColumn(value, bound(decoded(F.col(value)), lambda v: F.when(v.isNotNull(), edited(v)).otherwise(F.col(value))))
 
 
 def constant(value: Any) -> Column:
@@ -183,17 +204,20 @@ def select(v: Column, paths: list[str]) -> Column:
             if at.get(parts[-1], 0) != {} or parts[-1] not in at:
                 at[parts[-1]] = None
 
-    def made(node: dict, above: str) -> tuple[Column, Column]:
+    def member(name: str) -> Callable[[Column], Column]:
+        return lambda x: F.when(x.isNotNull(), F.concat(F.lit(json.dumps(name) + ":"), F.to_json(x)))
+
+    def made(v: Column, node: dict, above: str) -> tuple[Column, Column]:
         parts, there = [], F.lit(False)
         for name, below in node.items():
             path = f"{above}.{name}" if above else name
-            x = get(v, path)
             if below is None:
-                inner, here = F.to_json(x), x.isNotNull()
+                here = get(v, path).isNotNull()
+                parts.append(bound(get(v, path), member(name)))
             else:
-                inner, here = made(below, path)
-            parts.append(F.when(here, F.concat(F.lit(json.dumps(name) + ":"), inner)))
+                inner, here = made(v, below, path)
+                parts.append(F.when(here, F.concat(F.lit(json.dumps(name) + ":"), inner)))
             there = there | here
         return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), there
 
-    return made(tree, "")[0]
+    return bound(v, lambda v: F.when(v.isNotNull(), made(v, tree, "")[0]))

@@ -118,10 +118,12 @@ def one(stream: Stream, i: int, op: Operator, registry: dict[str, Callable[[Stre
         return stream.apply(J.staged(stream.df, steps), "Map", op.id)
     if op.type == "keyBy":
         path = op.keyBy.field
-        v = J.decoded(F.col("value"))
-        x = J.get(v, path)
-        nested = J.kind(x).isin("object", "array")
-        key = F.when(J.kind(x) == "null", "<nil>").when(nested, F.to_json(x)).when(x.isNotNull(), J.text_at(F.col("value"), path))
+
+        def spoken(x: Column, kind: Column) -> Column:
+            literal = J.text_at(F.col("value"), path)  # 1.0 stays 1.0
+            return F.when(kind == "null", "<nil>").when(kind.isin("object", "array"), F.to_json(x)).when(x.isNotNull(), literal)
+
+        key = J.bound(J.get(J.decoded(F.col("value")), path), lambda x: J.bound(J.kind(x), lambda kind: spoken(x, kind)))
         return stream.key_by(key, op.keyBy.partitions or None, op.keyBy.label or op.id)
     if op.type == "window":
         return stream.window(assigner(op), op.window.label or op.id)

@@ -1,18 +1,28 @@
-"""All faults of a workflow at once, each with its place."""
+"""Checks of a workflow, as tables of rules by block.
+
+A rule looks at one block and gives what is wrong with it, or nothing. ``validate`` applies every rule whose block is
+there and reports all faults at once, each with the place it was found at.
+"""
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import Any
 
 from ..functions.json_paths import OPERATORS as COMPARISONS
-from .spec import OPERATORS, Env, Operator, Sink, Source, Window, Workflow
+from .spec import OPERATORS, Operator, Workflow
 
 NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*")
+#: What may stand where (fixed values of the format).
 SOURCES, SINKS = ("kafka", "slice", "generator"), ("kafka", "txnKafka", "postgres", "stdout", "blackhole")
+WINDOWS, BACKENDS, FUNCTIONS, EMITS, MODES = ("tumbling", "sliding", "session"), ("memory", "pebble"), ("count", "sum"), ("running", "final"), ("insert", "upsert")
 
 Fault = tuple[str, str]
+#: From a block, the paths below it and what is wrong there.
+Rule = Callable[[Any], Iterator[Fault]]
 
 
 class ValidationError(ValueError):
@@ -21,9 +31,130 @@ class ValidationError(ValueError):
         super().__init__("; ".join(f"{p}: {m}" for p, m in faults))
 
 
+# -- kinds of rules --------------------------------------------------------------------------------------------------
+
+
+def rule(field: str, wrong: Callable[[Any], Any], message: str, when: Callable[[Any], Any] = lambda _: True) -> Rule:
+    """A fault at ``field`` where ``wrong`` holds of the block; the message may name the field's value."""
+
+    def check(block: Any) -> Iterator[Fault]:
+        if when(block) and wrong(block):
+            yield field, message.format(value=_at(block, field))
+
+    return check
+
+
+def _at(block: Any, field: str) -> Any:
+    for name in field.split("."):
+        block = getattr(block, name, None)
+    return block
+
+
+def given(field: str, when: Callable[[Any], Any] = lambda _: True) -> Rule:
+    return rule(field, lambda b: not _at(b, field), f"{field} is missing or empty", when)
+
+
+def among(field: str, choices: tuple[str, ...], optional: bool = False) -> Rule:
+    def wrong(block: Any) -> bool:
+        value = _at(block, field)
+        return value not in choices and not (optional and not value)
+
+    return rule(field, wrong, "{value!r} is none of " + ", ".join(choices))
+
+
+def counted(field: str) -> Rule:
+    return rule(field, lambda b: _at(b, field) < 0, "{value} is below zero")
+
+
+def lasting(field: str, when: Callable[[Any], Any] = lambda _: True) -> Rule:
+    return rule(field, lambda b: _at(b, field).us <= 0, "a duration above zero is needed", when)
+
+
+def writable(field: str, when: Callable[[Any], Any] = lambda _: True) -> Rule:
+    def check(block: Any) -> Iterator[Fault]:
+        if (path := _at(block, field)) and when(block):
+            try:
+                os.makedirs(path, exist_ok=True)
+            except OSError as e:
+                yield field, f"can't make the folder {path!r} ({e})"
+
+    return check
+
+
+def mapped(field: str) -> Rule:
+    def check(block: Any) -> Iterator[Fault]:
+        there = set(block.mapping.values())
+        yield from ((field, f"column {name!r} isn't a target of the mapping") for name in getattr(block, field) if name not in there)
+
+    return check
+
+
+# -- rules by block --------------------------------------------------------------------------------------------------
+
+OPERATOR_RULES: dict[str, tuple[Rule, ...]] = {
+    "filter": (given("field"), among("operator", COMPARISONS)),
+    "selectFields": (given("fields"),),
+    "renameFields": (given("renames"),),
+    "setFields": (given("sets"),),
+    "keyBy": (given("field"), counted("partitions")),
+    "reduce": (among("function", FUNCTIONS), given("field", lambda b: b.function == "sum"), among("emit", EMITS, optional=True)),
+    "window": (
+        among("type", WINDOWS),
+        lasting("size", lambda b: b.type in ("tumbling", "sliding")),
+        lasting("slide", lambda b: b.type == "sliding"),
+        rule("slide", lambda b: b.slide.us > b.size.us > 0, "a slide longer than the size leaves gaps", lambda b: b.type == "sliding"),
+        lasting("gap", lambda b: b.type == "session"),
+    ),
+    "map": (given("ref"),),
+    "flatMap": (given("ref"),),
+    "process": (given("ref"),),
+}
+SOURCE_RULES: dict[str, tuple[Rule, ...]] = {
+    "kafka": (
+        given("brokers"),
+        rule("topic", lambda b: not b.topic and not b.topics, "neither topic nor topics is given"),
+        rule("parallel", lambda b: b.parallel and b.groupID, "can't go together with groupID"),
+        rule("watermark.maxOutOfOrderness", lambda b: b.watermark.maxOutOfOrderness.us <= 0, "a duration above zero is needed", lambda b: b.watermark),
+    ),
+}
+SINK_RULES: dict[str, tuple[Rule, ...]] = {
+    "kafka": (given("brokers"), given("topic")),
+    "txnKafka": (given("brokers"), given("topic"), given("transactionalID")),
+    "postgres": (
+        given("dsn"),
+        given("table"),
+        given("mapping"),
+        among("mode", MODES, optional=True),
+        rule("mode", lambda b: b.conflictColumns or b.updateColumns, "conflictColumns and updateColumns belong to upsert", lambda b: b.mode in ("", "insert")),
+        given("conflictColumns", lambda b: b.mode == "upsert"),
+        mapped("conflictColumns"),
+        mapped("updateColumns"),
+    ),
+}
+ENV_RULES: dict[str, tuple[Rule, ...]] = {
+    "": (counted("bufferSize"),),
+    "checkpointing": (lasting("interval"), writable("dir")),
+    "state": (among("backend", BACKENDS), writable("dir", lambda b: b.backend == "pebble")),
+}
+HEAD_RULES: tuple[Rule, ...] = (
+    rule("version", lambda w: w.version not in ("", "1"), "{value!r} isn't known here; leave it out or write \"1\""),
+    given("name"),
+    rule("name", lambda w: w.name and not NAME.fullmatch(w.name), "{value!r} has other signs than letters, digits, dots, dashes and underscores"),
+    among("source.type", SOURCES),
+    among("sink.type", SINKS),
+)
+
+
+def applied(rules: tuple[Rule, ...], block: Any, path: str) -> Iterator[Fault]:
+    return ((f"{path}.{p}" if path else p, m) for r in rules for p, m in r(block))
+
+
+# -- the whole -------------------------------------------------------------------------------------------------------
+
+
 def validate(wf: Workflow) -> None:
     """Raises a ValidationError with every fault there is."""
-    if faults := [*structure(wf), *configuration(wf), *order(wf), *delivery(wf)]:
+    if faults := list(chain(applied(HEAD_RULES, wf, ""), _environment(wf), _ends(wf), _pipeline(wf), _once(wf))):
         raise ValidationError(faults)
 
 
@@ -31,211 +162,58 @@ def place(i: int, op: Operator) -> str:
     return f'pipeline[{i}] "{op.id}"' if op.id else f"pipeline[{i}]"
 
 
-def blocks(op: Operator) -> list[str]:
-    return [n for n in OPERATORS if getattr(op, n) is not None]
+def _environment(wf: Workflow) -> Iterator[Fault]:
+    for name, rules in ENV_RULES.items():
+        block = getattr(wf.env, name, None) if name else wf.env
+        if block is not None:
+            yield from applied(rules, block, f"env.{name}" if name else "env")
 
 
-def structure(wf: Workflow) -> Iterator[Fault]:
-    if wf.version not in ("", "1"):
-        yield "version", f'unsupported workflow version "{wf.version}" (supported: empty or "1")'
-    if not wf.name:
-        yield "name", "workflow name is required"
-    elif not NAME.fullmatch(wf.name):
-        yield "name", f'invalid workflow name "{wf.name}" (letters, digits, and _.- only)'
-    for what, kind, known in (("source", wf.source.type, SOURCES), ("sink", wf.sink.type, SINKS)):
-        if not kind:
-            yield what, f"{what} is required"
-        elif kind not in known:
-            yield f"{what}.type", f'unsupported {what} type "{kind}"'
-    seen: dict[str, int] = {}
-    for i, op in enumerate(wf.pipeline):
-        at = place(i, op)
-        if not op.id:
-            yield at, "operator id is required"
-        elif op.id in seen:
-            yield at, f'duplicate operator id "{op.id}" (also used by pipeline[{seen[op.id]}])'
-        else:
-            seen[op.id] = i
-        there = blocks(op)
-        if not op.type:
-            yield at, "operator type is required"
-        elif op.type not in OPERATORS:
-            yield at, f'unsupported operator type "{op.type}"'
-        elif not there:
-            yield at, f'operator type "{op.type}" requires a "{op.type}" config block'
-        elif len(there) > 1:
-            yield at, f'operator has multiple config blocks {there} (expected only "{op.type}")'
-        elif there[0] != op.type:
-            yield at, f'operator type "{op.type}" does not match config block "{there[0]}"'
-
-
-def configuration(wf: Workflow) -> Iterator[Fault]:
-    yield from environment(wf.env)
-    yield from source(wf.source)
-    yield from sink(wf.sink)
+def _ends(wf: Workflow) -> Iterator[Fault]:
+    for what, end, tables in (("source", wf.source, SOURCE_RULES), ("sink", wf.sink, SINK_RULES)):
+        if end.type in tables:
+            block = getattr(end, end.type)
+            yield from applied(tables[end.type], block, f"{what}.{end.type}") if block is not None else [(f"{what}.{end.type}", f"the block {end.type} is missing")]
+
+
+def _pipeline(wf: Workflow) -> Iterator[Fault]:
+    first: dict[str, int] = {}
+    key_at = reduce_at = -1
     for i, op in enumerate(wf.pipeline):
-        there = blocks(op)
+        at, there = place(i, op), [n for n in OPERATORS if getattr(op, n) is not None]
+        if first.setdefault(op.id, i) != i or not op.id:
+            yield at, f"its id is that of pipeline[{first[op.id]}]" if op.id else "it has no id"
+        if op.type not in OPERATORS:
+            yield at, f"{op.type!r} is no type of operator"
+        elif there != [op.type]:
+            yield at, f"a block {op.type} and no other is needed; there: {', '.join(there) or 'none'}"
         if there:
-            # Faults of an operator's first block; a second one is a fault of structure.
-            yield from ((f"{place(i, op)}.{there[0]}{p}", m) for p, m in operator(op, there[0]))
-
-
-def operator(op: Operator, name: str) -> Iterator[Fault]:
-    c = getattr(op, name)
-    if name == "filter":
-        if not c.field:
-            yield ".field", "a field is required"
-        if not c.operator:
-            yield ".operator", "an operator is required"
-        elif c.operator not in COMPARISONS:
-            yield ".operator", f'unsupported filter operator "{c.operator}"'
-    elif name == "selectFields" and not c.fields:
-        yield ".fields", "at least one field is required"
-    elif name == "renameFields" and not c.renames:
-        yield ".renames", "at least one rename is required"
-    elif name == "setFields" and not c.sets:
-        yield ".sets", "at least one set is required"
-    elif name == "keyBy":
-        if not c.field:
-            yield ".field", "a key field is required"
-        if c.partitions < 0:
-            yield ".partitions", "partitions must not be negative"
-    elif name == "reduce":
-        if not c.function:
-            yield ".function", "a function is required (count or sum)"
-        elif c.function not in ("count", "sum"):
-            yield ".function", f'unsupported reduce function "{c.function}" (count or sum)'
-        elif c.function == "sum" and not c.field:
-            yield ".field", "sum requires a field"
-        if c.emit not in ("", "running", "final"):
-            yield ".emit", f'unsupported emit "{c.emit}" (running or final)'
-    elif name == "window":
-        yield from window(c)
-    elif name in ("map", "flatMap", "process") and not c.ref:
-        yield ".ref", "a function ref is required"
-
-
-def window(w: Window) -> Iterator[Fault]:
-    if not w.type:
-        yield ".type", "a window type is required (tumbling, sliding, or session)"
-    elif w.type not in ("tumbling", "sliding", "session"):
-        yield ".type", f'unsupported window type "{w.type}"'
-    if w.type in ("tumbling", "sliding") and w.size.us <= 0:
-        yield ".size", "window size must be greater than zero"
-    if w.type == "sliding":
-        if w.slide.us <= 0:
-            yield ".slide", "window slide must be greater than zero"
-        elif w.slide.us > w.size.us > 0:
-            yield ".slide", "window slide must be less than or equal to size"
-    if w.type == "session" and w.gap.us <= 0:
-        yield ".gap", "session gap must be greater than zero"
-
-
-def _folder(path: str, folder: str) -> Iterator[Fault]:
-    try:
-        os.makedirs(folder, exist_ok=True)
-    except OSError as e:
-        yield path, f'directory "{folder}" cannot be created: {e}'
-
-
-def environment(env: Env | None) -> Iterator[Fault]:
-    if env is None:
-        return
-    if env.bufferSize < 0:
-        yield "env.bufferSize", "buffer size must not be negative"
-    if c := env.checkpointing:
-        if c.interval.us <= 0:
-            yield "env.checkpointing.interval", "checkpoint interval must be greater than zero"
-        if c.dir:
-            yield from _folder("env.checkpointing.dir", c.dir)
-    if s := env.state:
-        if not s.backend:
-            yield "env.state.backend", "a backend is required (memory or pebble)"
-        elif s.backend not in ("memory", "pebble"):
-            yield "env.state.backend", f'unsupported state backend "{s.backend}" (memory or pebble)'
-        elif s.backend == "pebble" and s.dir:
-            yield from _folder("env.state.dir", s.dir)
-
-
-def source(s: Source) -> Iterator[Fault]:
-    if s.type != "kafka":
-        return
-    k = s.kafka
-    if k is None:
-        yield "source.kafka", "kafka source configuration is required"
-        return
-    if not k.brokers:
-        yield "source.kafka.brokers", "at least one broker is required"
-    if not k.topic and not k.topics:
-        yield "source.kafka.topic", "a topic (or topics) is required"
-    if k.parallel and k.groupID:
-        yield "source.kafka", "parallel and groupID are mutually exclusive"
-    if k.watermark and k.watermark.maxOutOfOrderness.us <= 0:
-        yield "source.kafka.watermark.maxOutOfOrderness", "must be greater than zero"
-
-
-def sink(s: Sink) -> Iterator[Fault]:
-    needs = {
-        "kafka": (("brokers", "at least one broker is required"), ("topic", "a topic is required")),
-        "txnKafka": (("brokers", "at least one broker is required"), ("topic", "a topic is required"), ("transactionalID", "a transactional id is required for transactional Kafka")),
-        "postgres": (("dsn", "a dsn is required"), ("table", "a table is required"), ("mapping", "a non-empty field→column mapping is required")),
-    }
-    if s.type not in needs:
-        return
-    c = getattr(s, s.type)
-    if c is None:
-        yield f"sink.{s.type}", ("transactional kafka" if s.type == "txnKafka" else s.type) + " sink configuration is required"
-        return
-    yield from ((f"sink.{s.type}.{n}", m) for n, m in needs[s.type] if not getattr(c, n))
-    if s.type != "postgres":
-        return
-    if c.mode in ("", "insert"):
-        if c.conflictColumns or c.updateColumns:
-            yield "sink.postgres.mode", "conflict/update columns require upsert mode"
-    elif c.mode != "upsert":
-        yield "sink.postgres.mode", f'unsupported postgres mode "{c.mode}" (insert or upsert)'
-    elif not c.conflictColumns:
-        yield "sink.postgres.conflictColumns", "upsert requires at least one conflict column"
-    there = set(c.mapping.values())
-    for what, names in (("conflict", c.conflictColumns), ("update", c.updateColumns)):
-        yield from ((f"sink.postgres.{what}Columns", f'{what} column "{n}" is not present in mapping') for n in names if n not in there)
-
-
-def order(wf: Workflow) -> Iterator[Fault]:
-    keyed = reduced = False
-    for i, op in enumerate(wf.pipeline):
+            yield from applied(OPERATOR_RULES[there[0]], getattr(op, there[0]), f"{at}.{there[0]}")
         if op.type == "keyBy":
-            keyed, reduced = True, False
-        elif op.type in ("reduce", "window") and not keyed:
-            yield place(i, op), f"{op.type} requires a keyBy before it"
-        if op.type == "window" and reduced:
-            yield place(i, op), "window must appear before the aggregation that consumes it"
-        reduced = reduced or op.type == "reduce"
-
-
-def delivery(wf: Workflow) -> Iterator[Fault]:
-    """Exactly once needs all three of its parts as soon as one of its ends is asked for."""
-    once, txn = exactly_once_source(wf), wf.sink.type == "txnKafka"
-    if not once and not txn:
-        return
-    if not once:
-        yield "source", "exactly-once requires a Kafka source with exactlyOnce: true"
-    if not txn:
-        yield "sink", "exactly-once requires a txnKafka (transactional) sink"
-    if not checkpointed(wf):
-        yield "env.checkpointing", "exactly-once requires checkpointing to be enabled with a positive interval"
+            key_at = i
+        elif op.type in ("reduce", "window") and key_at < 0:
+            yield at, f"no keyBy stands before this {op.type}"
+        if op.type == "window" and reduce_at > key_at:
+            yield at, f"it comes after the reduce of the same key (pipeline[{reduce_at}])"
+        reduce_at = i if op.type == "reduce" else reduce_at
 
 
-def exactly_once_source(wf: Workflow) -> bool:
-    return wf.source.type == "kafka" and wf.source.kafka is not None and wf.source.kafka.exactlyOnce
+#: What exactly once takes: its place, whether a workflow has it, and what to write.
+ONCE: tuple[tuple[str, Callable[[Workflow], bool], str], ...] = (
+    ("source", lambda wf: wf.source.type == "kafka" and wf.source.kafka is not None and wf.source.kafka.exactlyOnce, "a kafka source with exactlyOnce: true"),
+    ("sink", lambda wf: wf.sink.type == "txnKafka", "a txnKafka sink"),
+    ("env.checkpointing", lambda wf: wf.env is not None and wf.env.checkpointing is not None and wf.env.checkpointing.interval.us > 0, "checkpointing with an interval above zero"),
+)
 
 
-def checkpointed(wf: Workflow) -> bool:
-    return wf.env is not None and wf.env.checkpointing is not None and wf.env.checkpointing.interval.us > 0
+def _once(wf: Workflow) -> Iterator[Fault]:
+    """One end that asks for exactly once asks it of all three parts."""
+    has = [test(wf) for _, test, _ in ONCE]
+    if any(has[:2]):
+        yield from ((at, f"exactly-once takes {what}") for (at, _, what), there in zip(ONCE, has, strict=True) if not there)
 
 
 def guarantee(wf: Workflow) -> str:
     """What the workflow asks of delivery: exactly-once, at-least-once or at-most-once."""
-    if exactly_once_source(wf) and wf.sink.type == "txnKafka" and checkpointed(wf):
-        return "exactly-once"
-    return "at-least-once" if checkpointed(wf) else "at-most-once"
+    has = [test(wf) for _, test, _ in ONCE]
+    return "exactly-once" if all(has) else "at-least-once" if has[2] else "at-most-once"
