@@ -57,7 +57,8 @@ def link_buckets(
     for some a member at most. With ``screen`` (``may`` for pairs of rows of a frame of facts), members meet without their texts first
     (``screened``), and only those that may be linked with one of another component meet with them (``settle``).
     """
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"))
+    # Entries are moved as they are: sums of each task would be wider, since most keys have one member.
+    buckets = entries.repartition("key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.max("id").alias("last"))
     buckets = materialize(buckets.where("n > 1"))
     # A bucket of two is its smallest and its largest id: only larger ones are joined with their members.
     members = materialize(joined(entries, buckets.where("n > 2").select("key", "hub"), "key"))
@@ -163,7 +164,7 @@ def _sides(table: pa.Table) -> Iterator[tuple[int, int, int]]:
 
 
 #: Pairs of members that are screened at a time, and pairs for each member up to which a cell gives pairs.
-AT_ONCE, FEW_PAIRS = 1 << 20, 8
+AT_ONCE, FEW_PAIRS = 1 << 20, 64
 
 
 def screened(placed: DataFrame, facts: DataFrame, screen: Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray], block: int = 2 * BLOCK) -> DataFrame:
