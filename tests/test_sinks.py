@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemill.envelope import from_records, from_slices, record, to_envelope, with_headers
 from tidemill.sinks.basic import Blackhole, FileDlq, KafkaSink, ObjectStore, Stdout, kafka_dlq
 from tidemill.sinks.http import HttpSink, Permanent, json_array, ndjson, post
-from tidemill.sinks.postgres import last_per_key, mapped, statement
+from tidemill.sinks.postgres import PostgresSink, last_per_key, mapped, statement
 from tidemill.sources.kafka import KafkaSource, Sasl, Tls, records
 from tidemill.sources.readers import deserialize, inline
 
@@ -147,3 +147,33 @@ def test_http(spark, letters, tmp_path):
         HttpSink(Server([(400, {})] * 9).url, on_error="fail").write(letters.coalesce(1))
     HttpSink(Server([(400, {})] * 9).url, on_error="dlq", dlq=FileDlq(str(tmp_path / "d"))).write(letters.coalesce(1))
     assert sum(len(f.read_text().splitlines()) for f in Path(tmp_path / "d").glob("part-*")) == 2
+
+
+def test_postgres_failure_policies():
+    opened = []
+
+    class Connection:
+        def __init__(self):
+            self.rows = []
+            opened.append(self)
+
+        def cursor(self):
+            return self
+
+        def execute(self, sql, values):
+            if "bad" in values:
+                raise RuntimeError("refused")
+            self.rows += values
+
+        def commit(self):
+            pass
+
+        def close(self):
+            pass
+
+    rows = [("a",), ("bad",), ("b",)]
+    how = {"connect": Connection, "table": "t", "mapping": {"x": "x"}, "batch_size": 1, "max_retries": 0}
+    PostgresSink(**how, on_error="drop")._writer(["x"])(iter(rows))
+    assert [c.rows for c in opened] == [["a"], ["b"]]  # a connection is kept until it fails
+    with pytest.raises(RuntimeError, match="refused"):
+        PostgresSink(**how)._writer(["x"])(iter(rows))

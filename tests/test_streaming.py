@@ -69,6 +69,37 @@ def test_windows_with_a_watermark(spark, folders):
         s.window(Session("5s"))
 
 
+def test_windows_that_the_watermark_has_passed_are_evicted(spark, folders):
+    inp, out, ckpt = folders
+    put(spark, inp, [("k", 1, 1, 0), ("k", 2, 2, 1)])
+    put(spark, inp, [("k", 4, 60, 2)])
+    put(spark, inp, [("k", 8, 61, 3)])
+    s = StreamEnv(spark).from_source(source(spark, inp), arrival=("offset",)).with_watermark("0s").key_by("key").window(Tumbling("10s")).reduce(R.count("n"))
+    sink = LedgerSink(str(out), "q")
+    q = drain(s.df, sink, ckpt)
+    assert [(r.offset, r.n) for r in sink.read(spark).orderBy("offset").collect()] == [(0, 1), (1, 2), (2, 1), (3, 2)]
+    kept = [o.numRowsTotal for o in q.lastProgress.stateOperators]
+    assert kept and kept[-1] <= 3, kept  # one window and its timer, not two windows
+
+
+def test_rows_set_aside_reach_the_sink_of_dead_letters(spark):
+    class Kept:
+        def __init__(self):
+            self.rows = []
+
+        def write(self, df):
+            self.rows += df.collect()
+
+    good, bad = Kept(), Kept()
+    rows = spark.createDataFrame([("a", "1"), ("b", "x")], "key string, value string")
+    env = StreamEnv(spark)
+    env.from_source(rows, arrival=("key",)).process(F.expr("try_cast(value AS INT)"), F.expr("try_cast(value AS INT) IS NOT NULL"), F.lit("no number"), "dlq").to_sink(good)
+    with pytest.raises(ValueError, match="with_dead_letters"):
+        env.execute()
+    env.with_dead_letters(bad).execute()
+    assert [r.key for r in good.rows] == ["a"] and [(r.key, r._error) for r in bad.rows] == [("b", "no number")]
+
+
 def test_strict_windows_drop_by_record(spark, folders):
     inp, out, ckpt = folders
     put(spark, inp, [("k", 1, 5, 0)])

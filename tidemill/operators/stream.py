@@ -166,7 +166,7 @@ class Stream:
         if self.df.isStreaming:
             from ..streaming.stateful import running_reduce
 
-            return self._then(running_reduce(self.df, keys, list(self.arrival), reducers), op)
+            return self._then(running_reduce(self.df, keys, list(self.arrival), reducers, evict=self.windowed and self.lateness is not None), op)
         parts = [self.key, "window.start", "window.end"] if self.windowed else [self.key]
         spec = Window.partitionBy(*parts).orderBy(*self.arrival).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return self._then(self.df.withColumns({r.name: r.running(spec, self._arrival()) for r in reducers}), op)
@@ -229,6 +229,7 @@ class StreamEnv:
         self.source: Any = None
         self.sink: Any = None
         self.result: Stream | None = None
+        self.dead_letters: Any = None
         self.options: dict[str, Any] = {"shutdown_timeout": 30_000_000}
 
     def from_source(self, df: DataFrame, key: str = "key", ts: str = "timestamp", arrival: tuple[str, ...] = ("offset", "partition"), name: str = "table") -> Stream:
@@ -264,16 +265,29 @@ class StreamEnv:
         self.spark.streams.addListener(listener)
         return self
 
+    def with_dead_letters(self, sink: Any) -> StreamEnv:
+        """Where rows go that ``process`` sets aside (``dlq``), with their ``_error``."""
+        self.dead_letters = sink
+        return self
+
     def execute(self) -> Any:
-        """Runs the pipeline into its sink: at once in batch, as a ``StreamingQuery`` otherwise."""
+        """Runs the pipeline into its sink: at once in batch, as a ``StreamingQuery`` otherwise. What ``process`` sets
+        aside goes to the sink of dead letters, in streams by queries of their own."""
         if self.result is None or self.sink is None:
             raise ValueError("the pipeline has no source or no sink")
-        df = self.result.df
+        if self.result.rejected and self.dead_letters is None:
+            raise ValueError("process sets rows aside, and there is no sink for them: see with_dead_letters")
+        for i, bad in enumerate(self.result.rejected):
+            self._run(bad, self.dead_letters, f"rejected-{i}")
+        return self._run(self.result.df, self.sink)
+
+    def _run(self, df: DataFrame, sink: Any, beside: str = "") -> Any:
         if not df.isStreaming:
-            return self.sink.write(df)
-        writer = df.writeStream.foreachBatch(lambda batch, n: self.sink.write_batch(batch, n) if hasattr(self.sink, "write_batch") else self.sink.write(batch))
+            return sink.write(df)
+        writer = df.writeStream.foreachBatch(lambda batch, n: sink.write_batch(batch, n) if hasattr(sink, "write_batch") else sink.write(batch))
         if "directory" in self.options:
-            writer = writer.option("checkpointLocation", self.options["directory"]).trigger(processingTime=f"{self.options['interval'] // 1000} milliseconds")
+            folder = self.options["directory"] + (f"-{beside}" if beside else "")
+            writer = writer.option("checkpointLocation", folder).trigger(processingTime=f"{self.options['interval'] // 1000} milliseconds")
         return writer.outputMode("append").start()
 
     def describe(self) -> dict[str, Any]:

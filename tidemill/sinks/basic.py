@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -100,7 +101,10 @@ ACKS = {"none": "0", "": "1", "leader": "1", "all": "all"}
 
 @dataclass
 class KafkaSink:
-    """Spark's Kafka sink: at least once."""
+    """Spark's Kafka sink: at least once.
+
+    Producers retry each record; what fails for good ends the job (``on_error="fail"``), or what is left of the (micro-)
+    batch is logged and left out (``"drop"``): Spark has no finer grain."""
 
     brokers: tuple[str, ...]
     topic: str
@@ -112,12 +116,13 @@ class KafkaSink:
     serializer: Column | None = None
     name: str = "Kafka"
     extra: dict[str, str] = field(default_factory=dict)
+    on_error: str = "fail"
 
     def options(self) -> dict[str, str]:
         if not self.brokers:
-            raise ValueError("at least one broker is required")
+            raise ValueError("brokers is empty")
         if not self.topic:
-            raise ValueError("a topic is required")
+            raise ValueError("topic is empty")
         out = {"kafka.bootstrap.servers": ",".join(self.brokers), "topic": self.topic, "kafka.acks": ACKS[self.acks], "kafka.retries": str(self.retries), "includeHeaders": "true"}
         return out | security(self.sasl, self.tls) | self.extra
 
@@ -127,7 +132,13 @@ class KafkaSink:
         return df.select("key", body.cast("string").alias("value"), headers.alias("headers"))
 
     def write(self, df: DataFrame) -> None:
-        self.rows(df).write.format("kafka").options(**self.options()).save()
+        options, rows = self.options(), self.rows(df)
+        try:
+            rows.write.format("kafka").options(**options).save()
+        except Exception as e:
+            if self.on_error != "drop":
+                raise
+            logging.getLogger(__name__).warning("what was left of a batch for %s was dropped: %s", self.topic, type(e).__name__)
 
 
 def kafka_dlq(brokers: tuple[str, ...], topic: str, **how: Any) -> KafkaSink:

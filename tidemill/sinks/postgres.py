@@ -67,7 +67,9 @@ def numbered(df: DataFrame, conflict: Sequence[str], arrival: Sequence[str]) ->
 
 @dataclass
 class PostgresSink:
-    """Writes batches through a DB-API connection that ``connect`` opens in each task (places as ``$n`` or ``%s``)."""
+    """Writes batches through a DB-API connection that ``connect`` opens in each task (places as ``$n`` or ``%s``).
+
+    A batch that fails after its retries ends the job (``on_error="fail"``) or is logged and left out (``"drop"``)."""
 
     connect: Callable[[], Any]
     table: str
@@ -78,6 +80,7 @@ class PostgresSink:
     batch_size: int = 100
     max_retries: int = 3
     paramstyle: str = "format"
+    on_error: str = "fail"
     name: str = "Postgres"
 
     def write(self, df: DataFrame) -> None:
@@ -90,28 +93,36 @@ class PostgresSink:
         rows.select(*columns).foreachPartition(write)
 
     def _writer(self, columns: list[str]) -> Callable[[Iterator[Any]], None]:
-        connect, how, size, retries, style, table = self.connect, (self.mode, self.conflict, self.update), self.batch_size, self.max_retries, self.paramstyle, self.table
+        connect, how, size, retries, style, table, policy = self.connect, (self.mode, self.conflict, self.update), self.batch_size, self.max_retries, self.paramstyle, self.table, self.on_error
 
         def run(rows: Iterator[Any]) -> None:
+            import contextlib
             import itertools
+            import logging
             import re
             import time
 
+            connection = None
             while batch := list(itertools.islice(rows, size)):
                 sql = statement(table, columns, len(batch), *how)
                 sql = re.sub(r"\$\d+", "%s", sql) if style == "format" else sql
                 for turn in range(retries + 1):
                     try:
-                        connection = connect()
-                        try:
-                            connection.cursor().execute(sql, [x for row in batch for x in row])
-                            connection.commit()
-                        finally:
-                            connection.close()
+                        connection = connection or connect()
+                        connection.cursor().execute(sql, [x for row in batch for x in row])
+                        connection.commit()
                         break
-                    except Exception:
-                        if turn == retries:
+                    except Exception as e:
+                        with contextlib.suppress(Exception):
+                            connection.close()
+                        connection = None
+                        if turn < retries:
+                            time.sleep(min(30, 2**turn))
+                        elif policy == "fail":
                             raise
-                        time.sleep(min(30, 2**turn))
+                        else:
+                            logging.getLogger(__name__).warning("%s rows for %s were dropped: %s", len(batch), table, type(e).__name__)
+            if connection is not None:
+                connection.close()
 
         return run

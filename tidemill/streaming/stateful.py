@@ -20,10 +20,14 @@ from .state import use_backend
 
 
 class _Running(StatefulProcessor):
-    def __init__(self, arrival: list[str], reducers: Sequence[Reducer], kinds: list[str]) -> None:
+    """The accumulators after every record; with ``evict``, those of a window go when the watermark passes its end."""
+
+    def __init__(self, arrival: list[str], reducers: Sequence[Reducer], kinds: list[str], windowed: bool, evict: bool) -> None:
         self.arrival, self.steps, self.names, self.kinds = arrival, [r.pairwise for r in reducers], [r.name for r in reducers], kinds
+        self.windowed, self.evict = windowed, evict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("reduce", ", ".join(f"a{i} {k}" for i, k in enumerate(self.kinds)))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -34,8 +38,15 @@ class _Running(StatefulProcessor):
             for i, step in enumerate(self.steps):
                 acc[i] = step(acc[i], row)
                 out[i].append(acc[i])
+        if self.evict and not self.state.exists():
+            self.handle.registerTimer(int(key[-1]) // 1000)
         self.state.update(tuple(acc))
-        yield batch.assign(**dict(zip(self.names, out, strict=True)))
+        more = dict(zip(("_start_us", "_end_us"), key[-2:], strict=True)) if self.windowed else {}
+        yield batch.assign(**dict(zip(self.names, out, strict=True)), **more)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -49,14 +60,22 @@ def _kinds(df: DataFrame, reducers: Sequence[Reducer]) -> list[str]:
     return out
 
 
-def running_reduce(df: DataFrame, keys: list[str], arrival: list[str], reducers: Sequence[Reducer]) -> DataFrame:
-    """The accumulators after every record of a stream."""
+def running_reduce(df: DataFrame, keys: list[str], arrival: list[str], reducers: Sequence[Reducer], evict: bool = False) -> DataFrame:
+    """The accumulators after every record of a stream. ``evict``: the keys have a window and the stream a watermark."""
     if any(r.pairwise is None for r in reducers):
         raise ValueError("a running fold over a stream needs a pairwise step")
     use_backend(df.sparkSession, "disk")
     kinds = _kinds(df, reducers)
+    if windowed := "window" in keys:  # states are kept by numbers
+        columns = df.columns
+        keys = [k for k in keys if k != "window"] + ["_start_us", "_end_us"]
+        df = df.withColumns({"_start_us": F.unix_micros("window.start"), "_end_us": F.unix_micros("window.end")}).drop("window")
     schema = StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{r.name}` {k}" for r, k in zip(reducers, kinds, strict=True))).fields])
-    return df.groupBy(*keys).transformWithStateInPandas(_Running(arrival, reducers, kinds), outputStructType=schema, outputMode="Append", timeMode="None")
+    out = df.groupBy(*keys).transformWithStateInPandas(_Running(arrival, reducers, kinds, windowed, evict), outputStructType=schema, outputMode="Append", timeMode="EventTime" if evict else "None")
+    if not windowed:
+        return out
+    window = F.struct(F.timestamp_micros("_start_us").alias("start"), F.timestamp_micros("_end_us").alias("end"))
+    return out.withColumn("window", window).select(*columns, *(r.name for r in reducers))
 
 
 class _Strict(StatefulProcessor):

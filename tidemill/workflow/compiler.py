@@ -126,6 +126,8 @@ def one(stream: Stream, i: int, op: Operator, registry: dict[str, Callable[[Stre
         key = J.bound(J.get(J.decoded(F.col("value")), path), lambda x: J.bound(J.kind(x), lambda kind: spoken(x, kind)))
         return stream.key_by(key, op.keyBy.partitions or None, op.keyBy.label or op.id)
     if op.type == "window":
+        if op.window.idleTimeout.us and stream.df.isStreaming:
+            raise CompileError(f"{place(i, op)}.window.idleTimeout: Spark closes windows by its watermark alone; leave it out (a batch ends all windows anyway)")
         return stream.window(assigner(op), op.window.label or op.id)
     if op.type == "reduce":
         return reduced(stream, op)
@@ -189,10 +191,10 @@ def sink(wf: Workflow, connect: Callable[[str], Any] | None = None) -> Any:
     if s.type in ("kafka", "txnKafka"):
         if c.serialize not in ("", "json"):
             raise CompileError(f'sink.{s.type}.serialize: unsupported serializer "{c.serialize}"')
-        more = {"acks": c.acks, "batch_size": c.batchSize or 100, "retries": c.maxRetries or 3} if s.type == "kafka" else {"acks": "all", "name": "TxnKafka"}
+        more = {"acks": c.acks, "batch_size": c.batchSize or 100, "retries": c.maxRetries or 3, "on_error": c.onError or "drop"} if s.type == "kafka" else {"acks": "all", "name": "TxnKafka"}
         return KafkaSink(tuple(c.brokers), c.topic, **more, **_security(c.sasl, c.tls))
     dsn = c.dsn
-    return PostgresSink((lambda: connect(dsn)) if connect else _no_driver, c.table, dict(c.mapping), c.mode or "insert", tuple(c.conflictColumns), tuple(c.updateColumns), c.batchSize or 100, c.maxRetries or 3)
+    return PostgresSink((lambda: connect(dsn)) if connect else _no_driver, c.table, dict(c.mapping), c.mode or "insert", tuple(c.conflictColumns), tuple(c.updateColumns), c.batchSize or 100, c.maxRetries or 3, on_error=c.onError or "drop")
 
 
 def _no_driver() -> Any:
