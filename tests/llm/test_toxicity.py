@@ -92,3 +92,25 @@ def test_odd_tables(spark, corpus, nothing, cluttered):
     none = toxicity.train(corpus, labels.limit(0))
     assert none.words == [] and len({r.score for r in toxicity.score(corpus, none).collect()}) == 1
     assert toxicity.score(nothing, toxicity.train(nothing, labels)).count() == 0
+
+
+def test_punctuation_of_all_scripts_and_masked_letters():
+    finder = toxicity.Finder(toxicity.Model(words=["rotten"]))
+    plainly = finder.features("you rotten thing")
+    for text in ("you “rotten” thing", "you —rotten— thing", "you rotten… thing", "you ¡rotten! thing", "you «rotten» thing"):
+        assert sum(finder.features(text)[2:5]) == sum(plainly[2:5]) > 0, text
+    assert finder.features("you r*tten thing")[3] == finder.features("you rettem rottem thing")[3] > 0  # a misspelling
+    assert toxicity.tokens("id*ot st@pid a * b don’t x") == ["idot".encode(), "stpid".encode(), b"a", b"b", b"don", b"t", b"x"]
+    assert toxicity.tokens(None) == toxicity.tokens("") == []
+
+
+def test_an_apostrophe_does_not_end_quotation():
+    finder = toxicity.Finder(toxicity.Model(words=["rotten"]))
+    straight, curly = (finder.features(f"I {x} mean it: \"you rotten here\"") for x in ("dont", "don’t"))
+    assert straight[4] > 0 and curly[4] > 0 and straight[2] == curly[2] == 0
+    assert finder.features("‘you rotten here’ it was")[4] > 0
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("ab ’'\"“”‘*é—.\n") for _ in range(60))
+        words = toxicity.tokens(text)
+        assert [w for w in toxicity.tokens(text, marks=True) if w != toxicity.MARK.encode()] == words, text

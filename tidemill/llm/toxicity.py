@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, map_rows, materialize, table
 from .textual import plain
 
-#: Labelled rows of each class that are learned from, and the entries of the lexicon, at most.
-SAMPLE, ENTRIES = 10_000, 2_000
+#: Labelled rows of each class that are learned from at most: this bounds the lexicon, too.
+SAMPLE = 10_000
 #: Least toxic documents of a term, least log odds, and its other documents for each toxic one at most (of a stem: words).
 LEAST, ODDS, OTHERS, STEM_OTHERS = 5, 3.0, 0.1, 0.03
 #: Lengths of stems, different words that share one at least, letters of a word that may be misspelled at least.
@@ -39,12 +40,29 @@ STEMS, VARIED, FUZZY = (4, 5, 6), 5, 5
 WINDOW = 10
 #: Words of speech, and marks of quotation (fixed values).
 SPEECH = frozenset(b"said says say quote quoted quotes quoting called wrote writes dit sagte dijo".split())
-QUOTES = re.compile("[\"“”„«»‘’]")
+#: An apostrophe within a word is no mark.
+QUOTES = re.compile(r"[\"“”„«»]|(?<!\w)[‘’]|[‘’](?!\w)")
+#: Signs that stand for a letter, and what they become: a letter that no word has.
+MASKED, LETTER = re.compile(r"(?<=[^\W\d_])[*@$#!](?=[^\W\d_])"), "\ue001"
+#: The token of a quotation mark.
+MARK = "\ue000"
+#: Punctuation of all scripts ends a word.
+PUNCTUATION = {i: " " for i in range(128, 0x10000) if unicodedata.category(chr(i))[0] == "P"}
 #: Bias; then whether there are finds as written out of quotations; how many are as written, misspelled and quoted;
 #: their share of all words; and the most in one window.
 PRIOR = np.array([-4.0, 5.0, 1.0, 2.0, 0.5, 1.0, 0.5])
 
 
+def tokens(text: str | None, marks: bool = False) -> list[bytes]:
+    """The words of a text in lower case; a masked letter stays in its word. With ``marks``, each quotation mark is a
+    token, too."""
+    text = (text or "").replace(MARK, " ").replace(LETTER, " ")
+    if marks:
+        text = QUOTES.sub(f" {MARK} ", text)
+    text = MASKED.sub(LETTER, text)
+    return plain(text if text.isascii() else text.translate(PUNCTUATION)).split()
+
+
 class Automaton:
     """All words within ``edits`` of an entry, and all that begin with a stem, as a lazily built automaton."""
 
@@ -150,7 +168,7 @@ class Finder:
         return k
 
     def features(self, text: str | None) -> list[float]:
-        words = plain(text).split()
+        words = tokens(text)
         find = self.find
         hits = [(i, k) for i, w in enumerate(words) if (k := find(w)) >= 0]
         if not hits:
@@ -172,15 +190,14 @@ class Finder:
         speech = [any(w in SPEECH for w in words[max(0, i - WINDOW) : i]) for i, _ in hits]
         if not QUOTES.search(text):
             return speech
-        # Each mark as a word of its own; finds are counted anew among these.
-        marked = plain(QUOTES.sub(" 0quote0 ", text)).split()
-        places = [i for i, w in enumerate(marked) if w != b"0quote0"]
-        if len(places) != len(words):  # a mark within a word: its halves would be counted as two
-            return speech
+        # Marks end words like any punctuation, so there are the same words between them.
+        mark = MARK.encode()
+        marked = tokens(text, marks=True)
+        places = [i for i, w in enumerate(marked) if w != mark]
         out = []
         for (i, _), s in zip(hits, speech, strict=True):
             at = places[i]
-            before, after = marked[max(0, at - WINDOW) : at].count(b"0quote0"), marked[at + 1 : at + 1 + WINDOW].count(b"0quote0")
+            before, after = marked[max(0, at - WINDOW) : at].count(mark), marked[at + 1 : at + 1 + WINDOW].count(mark)
             out.append(s or before % 2 == 1 and after > 0)
         return out
 
@@ -202,7 +219,7 @@ def lexicon(rows: DataFrame) -> Model:
         def step(x: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {"word": [], "toxic": []}
             for t, y in zip(x["text"], x["toxic"], strict=True):
-                found = {w.decode("utf-8", "replace") for w in plain(t).split()}
+                found = {w.decode("utf-8", "replace") for w in tokens(t)}
                 out["word"] += found
                 out["toxic"] += [y] * len(found)
             return out
@@ -214,13 +231,13 @@ def lexicon(rows: DataFrame) -> Model:
     words = map_rows(rows, make, "word string, toxic int")
     words = materialize(words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    telling = words.where((F.col("bad") >= LEAST) & (odds >= ODDS) & (F.col("good") <= OTHERS * F.col("bad")) & (F.length("word") > 2)).orderBy(F.desc("bad"), "word").limit(ENTRIES)
-    entries = [r.word for r in telling.collect()]
+    telling = words.where((F.col("bad") >= LEAST) & (odds >= ODDS) & (F.col("good") <= OTHERS * F.col("bad")) & (F.length("word") > 2))
+    entries = sorted(r.word for r in telling.select("word").collect())
     parts = words.select("word", "bad", "good", F.explode(F.array(*(F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEMS))).alias("stem"))
     parts = parts.where("stem is not null").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum((F.col("bad") > 0).cast("int")).alias("kinds"))
     parts = parts.where((F.col("bad") >= LEAST) & (odds >= ODDS) & (F.col("kinds") >= VARIED) & (F.col("good") <= STEM_OTHERS * F.col("bad")))
     stems: list[str] = []
-    for s in sorted((r.stem for r in parts.orderBy(F.desc("bad"), "stem").limit(ENTRIES).collect()), key=len):
+    for s in sorted(sorted(r.stem for r in parts.select("stem").collect()), key=len):
         if not any(s.startswith(t) for t in stems):
             stems.append(s)
     entries = [w for w in entries if not any(w.startswith(s) for s in stems)]
