@@ -34,6 +34,25 @@ def test_equals_the_library(library, encoder):
         assert decoder.decode(ours).decode() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_equals_the_library(library, encoder):
+    """Beside letters, alone and twice: this shows its class and its small letter."""
+    for first in range(0, 0x110000, 64):
+        every = [chr(c) for c in range(first, first + 64) if not 0xD800 <= c < 0xE000]
+        text = " ".join(f"a{c}b {c}{c}1" for c in every)
+        if np.frombuffer(encoder.encode(text), dtype="<u4").tolist() != library.encode(text, add_special_tokens=False).ids:
+            for c in every:
+                for t in (f"a{c}b", f"{c}{c}1"):
+                    assert np.frombuffer(encoder.encode(t), dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids, hex(ord(c))
+            raise AssertionError(hex(first))
+
+
+def test_random_unicode_equals_the_library(library, encoder):
+    rng = random.Random(8)
+    for _ in range(3000):
+        t = "".join(chr(rng.choice((rng.randrange(32, 0x300), rng.randrange(0x300, 0xD800), rng.randrange(0xE000, 0x20000)))) for _ in range(12))
+        assert np.frombuffer(encoder.encode(t), dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_equals_merging_by_rank(encoder):
     """The backtracking encoder against plain byte-pair encoding."""
     rng = random.Random(2)

@@ -29,10 +29,26 @@ from .common import map_rows
 END = chr(256)
 #: White space that the vocabulary's patterns know (fixed values of Unicode).
 BLANK = "\t-\r \x85\xa0  -     　"
+#: Letters and numbers of later versions of Unicode, which are neither in the library's classes (fixed values).
+LATER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A "
+    "11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 "
+    "1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF "
+    "2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+#: Capitals that the library knows and Python may not know yet, and their small letters (fixed values).
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Distinct words that one worker remembers before it forgets them all.
 REMEMBERED = 400_000
 
 
+def code_points(ranges: str) -> str:
+    """Ranges as a set of a pattern."""
+    return "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in ranges.split())
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -89,10 +105,11 @@ class Encoder:
             if proper[r]:
                 self.automaton.add_word(t, r)
         self.automaton.make_automaton()
-        letters = r"\p{L}"
         import regex
 
-        self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[\p{{N}}]|[^{BLANK}{letters}\p{{N}}]+")
+        letters, numbers = (rf"[\p{{{kind}}}--[{code_points(later)}]]" for kind, later in (("L", LATER_LETTERS), ("N", LATER_NUMBERS)))
+        self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|[^{BLANK}{letters}{numbers}]+", regex.V1)
+        self.capitals = re.compile(f"[{''.join(map(chr, CAPITALS))}]")
         # The same classes for texts of basic and accented Latin letters only, which the plain engine scans faster.
         latin = "a-z\xdf-\xf6\xf8-\u017f"
         self.foreign = re.compile(f"[^\x00-\x7f{latin}]")
@@ -155,7 +172,8 @@ class Encoder:
 
     def normalise(self, text: str) -> str:
         # Letter by letter: a capital sigma that ends a word is no special case.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return (text.translate(CAPITALS) if not text.isascii() and self.capitals.search(text) else text).lower()
 
     def words(self, text: str) -> list[str]:
         text = self.normalise(text)
