@@ -54,3 +54,17 @@ def test_odd_pages(spark):
     assert len(rows) == len(pages) + 1 and all(r.n_chars == len(r.text) for r in rows.values())
     assert rows[1].text == rows[2].text == "" and rows[0].text == rows[len(pages)].text and len(rows[9].text) == 249_999
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        for page in ("<div>x" * n, "<span class=nav>x" * n, "<p>" + "<span class=nav>x" * n + "<div>" * n, "<li><ul>" + "<div>" * n + "</li>" * n):
+            tree = html.Page(page)
+            tree.text([True] * len(tree.tag))
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 40 * took(1_600) + 0.5  # ten times as much; a hundred times if quadratic

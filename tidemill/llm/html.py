@@ -57,6 +57,9 @@ class Page:
         self.parent, self.tag, self.said, self.inline = [-1], ["html"], [()], [False]
         self.pieces: list[tuple[int, str]] = []
         self.size, self.linked, self.children = [0], [0], [0]
+        #: The element whose block an element's text is in, and where elements of a tag are open, outermost first.
+        self.home: list[int] = [0]
+        self.places: dict[str, list[int]] = {}
         self._read(source)
 
     def _open(self, stack: list[int], tag: str, said: tuple, inline: bool = False) -> None:
@@ -68,8 +71,15 @@ class Page:
         self.size.append(0)
         self.linked.append(0)
         self.children.append(0)
+        self.home.append(self.home[stack[-1]] if inline else len(self.tag) - 1)
+        self.places.setdefault(tag, []).append(len(stack))
         stack.append(len(self.tag) - 1)
 
+    def _drop(self, stack: list[int], place: int) -> None:
+        """Ends the elements from ``place`` on."""
+        while len(stack) > place:
+            self.places[self.tag[stack.pop()]].pop()
+
     def _read(self, s: str) -> None:
         at, stack, anchors, ends = 0, [0], 0, s.lower() if "<" in s else ""
         find = TAG.search
@@ -82,7 +92,7 @@ class Page:
                 if name in INLINE:
                     anchors -= name == "a" and anchors > 0
                     if self.inline[stack[-1]] and self.tag[stack[-1]] == name:
-                        stack.pop()
+                        self._drop(stack, len(stack) - 1)
                 elif name == "br":
                     self.pieces.append((stack[-1], " "))
                 else:
@@ -113,7 +123,7 @@ class Page:
                 continue
             if name in ENDS:
                 self._close(stack, *ENDS[name])
-            elif self.tag[stack[-1]] == "p" or "p" in (self.tag[i] for i in stack):
+            elif self.places.get("p"):
                 self._close(stack, {"p"}, SCOPE)
             anchors = 0
             self._open(stack, name, said)
@@ -121,13 +131,10 @@ class Page:
             self._text(stack[-1], s[at:], anchors)
 
     def _close(self, stack: list[int], names: set[str], bound: Iterable[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[i]]
-            if tag in names:
-                del stack[i:]
-                return
-            if tag in bound:
-                return
+        """Ends the innermost element of these names, unless one of ``bound`` is further in."""
+        last = lambda tags: max((there[-1] for t in tags if (there := self.places.get(t))), default=0)
+        if (place := last(names)) and place >= last(bound):
+            self._drop(stack, place)
 
     @staticmethod
     def _cues(more: str) -> tuple:
@@ -176,9 +183,7 @@ class Page:
     def text(self, content: list[bool]) -> str:
         blocks, last, now = [], -1, []
         for node, piece in self.pieces:
-            home = node
-            while self.inline[home]:
-                home = self.parent[home]
+            home = self.home[node]
             if home != last:
                 blocks.append("".join(now))
                 now, last = [], home
