@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one set here where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one set here where it is unset and all run in one
+    process (tests); elsewhere an unset folder is an error, since executors don't see each other's disks."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemill-")
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, semi, table
+from .common import map_rows, materialize, semi, split_join, table
 from .graph import link_buckets
 from .textual import Numbers, mixed, plain, shingles
 
@@ -218,7 +218,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     """One row per row of ``docs``: doc_id, copy_id (the first document with the same words), class_id and kept."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = materialize(sketches(docs))
-    first = materialize(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("f")).select("digest", "f.*"))
+    first = materialize(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("f"), F.count(F.lit(1)).alias("copies")).select("digest", "copies", "f.*"))
     entries = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     facts = first.select(F.col("doc_id").alias("id"), F.col("n").alias("fact"))
 
@@ -227,11 +227,12 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
         return materialize(chosen.groupBy("id").agg(F.min("text").alias("text")))
 
     groups = link_buckets(entries, facts, lambda x, y: F.least(x, y) >= least * F.greatest(x, y), texts_of, lambda pairs, texts: check_pairs(pairs, texts, least=least), lambda: Shingles(least=least))
-    copies = first.select("digest", F.col("doc_id").alias("copy_id"))
-    out = rows.select("doc_id", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(copies, "digest", "left").drop("digest")
-    out = out.withColumn("copy_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("copy_id", "doc_id")))
-    out = out.join(groups, F.col("copy_id") == F.col("id"), "left")
-    return out.select("doc_id", "copy_id", F.coalesce("component", "copy_id").alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    classes = first.select("digest", "copies", F.col("doc_id").alias("copy_id")).join(groups, F.col("copy_id") == F.col("id"), "left")
+    classes = classes.select("digest", "copies", "copy_id", F.coalesce("component", "copy_id").alias("class_id"))
+    known = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = split_join(rows.where(known).select("doc_id", "digest"), classes, "digest", "copies").select("doc_id", "copy_id", "class_id")
+    rest = rows.where(~known).select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"))
+    return out.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
