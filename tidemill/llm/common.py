@@ -38,14 +38,15 @@ def scratch_root(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and return a reader of it.
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet in the shared folder (a folder for each value of ``by``) and return a reader of it.
 
     A lost executor re-reads the files; nothing upstream runs again. ``discard`` removes the files.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/tidemill-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,6 +85,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
     "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
+    "array<binary>": pa.list_(pa.binary()),
 }
 
 
