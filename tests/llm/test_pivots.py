@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -62,3 +63,20 @@ def test_empty_and_repeated(spark):
     assert pivots.near_vectors(df).count() == 0
     twice = spark.createDataFrame([(1, 0, [1.0, 0.0], "x"), (1, 0, [1.0, 0.0], "y"), (2, 0, [1e30, 1e20], "z")], "vec_id long, label int, embedding array<float>, n string")
     assert sorted(map(tuple, pivots.near_vectors(twice).collect())) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
+
+
+def test_sql(spark):
+    """The oracle against brute force, and the query against the oracle where the index is exact."""
+    rows, df = table(spark, 2)
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    got = sorted((r[0], r[1], r[2], r[3]) for r in con.sql(pivots.SQL).select("vec_id, n_links, component_id, kept").fetchall())
+    assert got == brute(rows)
+    assert sorted(map(tuple, pivots.near_vectors(df, near=32, shared=1).collect())) == got
+
+
+def test_wide_vectors_bound_the_pivots(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "MOST_NUMBERS", 64)
+    _, df = table(spark)
+    reps = df.where("vec_id < 400").selectExpr("vec_id AS id", "embedding AS v")
+    assert sum(map(len, pivots.choose(reps, 300).values())) == 32

@@ -1,7 +1,7 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 Pivots are a bounded sample of the vectors, about the square root of their number (32 to 65,536), those with the
-smallest hashes of their ids. Every vector is described by its ``NEAREST`` nearest pivots in order, and stands in the
+smallest hashes of their ids, and fewer where vectors are so wide that they would be over 128 MB. Every vector is described by its ``NEAREST`` nearest pivots in order, and stands in the
 inverted list of each of them under its label. Two vectors that share at least ``SHARED`` pivots are candidates and
 are checked by cosine in double precision. Lists are worked through in pairs of blocks by matrix products; a pair is
 counted only in the list of its first shared pivot. What leaves a pair of blocks is a row a vector: how many links it
@@ -25,6 +25,8 @@ from .common import bounded_batches, materialize, table
 from .graph import components
 
 COSINE, NEAREST, SHARED, BLOCK, MOST_PIVOTS = 0.93, 8, 2, 1024, 65_536
+#: Numbers that all pivots together may have, which bounds what is broadcast at 128 MB.
+MOST_NUMBERS = 1 << 24
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -34,8 +36,8 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 def choose(reps: DataFrame, pivots: int | None = None) -> dict[int, np.ndarray]:
     """Unit vectors of the pivots by length of the vectors."""
-    n = reps.count()
-    most = min(MOST_PIVOTS, pivots or max(32, math.isqrt(n)))
+    n, widest = reps.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    most = min(MOST_PIVOTS, max(32, MOST_NUMBERS // (widest or 1)), pivots or max(32, math.isqrt(n)))
     picked = reps.orderBy(F.xxhash64(F.lit(3), "id"), "id").select("v").limit(most).collect()
     out: dict[int, list] = {}
     for r in picked:
@@ -145,9 +147,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-#: Brute force, for recall on small tables.
-EXACT = """
-WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL)
-SELECT a.vec_id, count(*) AS n_links FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
-WHERE list_cosine_similarity(a.v, b.v) >= 0.93 GROUP BY ALL
+#: All pairs, for tables on which the index misses none.
+SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.93 ELSE false END
+), reach AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a
+), least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       vec_id IS NOT DISTINCT FROM least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN counts ON vec_id = counts.a LEFT JOIN least ON vec_id = least.a
 """

@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": lm.query,
     "op10_mixing": mixing.query,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op4_exact_dedup": exact_dedup.SQL, "op7_pivots": pivots.SQL}
