@@ -40,7 +40,7 @@ def test_mix(spark, corpus, cluttered, nothing):
     for rows in by.values():
         assert abs(sum(r.copies * r["size"] for r in rows) - rows[0].target) <= max(r["size"] for r in rows)
     assert sorted(map(repr, mixing.mix(corpus.repartition(5)).collect())) == sorted(map(repr, out))
-    assert mixing.mix(cluttered.drop("copies", "rate")).count() == len(out)
+    assert sorted(map(repr, mixing.mix(cluttered).collect())) == sorted(map(repr, out))
     assert mixing.mix(nothing).count() == 0
 
 

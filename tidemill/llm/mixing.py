@@ -34,13 +34,13 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: Fractio
         total = sum(weights[i % len(weights)] for i in open_)
         for i in open_:
             out[i] = left * weights[i % len(weights)] / total
-        full = [i for i in open_ if out[i] > most * sizes[i]]
+        full = {i for i in open_ if out[i] > most * sizes[i]}
         if not full:
             break
         for i in full:
             out[i] = Fraction(most * sizes[i])
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        open_ = [i for i in open_ if i not in full]
     return [float(x) for x in out]
 
 
