@@ -58,3 +58,12 @@ def test_write(corpus, tmp_path, spark):
     sharding.write(corpus, str(tmp_path / "s"), 3)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == corpus.count() and "source" in back.columns
+
+
+def test_write_keeps_columns_of_its_own_names(cluttered, tmp_path, spark):
+    sharding.write(cluttered, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert {"size_in", "shard_in", "slot_in", "label"} <= set(back.columns)
+    assert back.where("size_in = 'x' and shard_in = 'x' and slot_in = 'x'").count() == cluttered.count()
+    with pytest.raises(ValueError, match="size_in"):
+        sharding.write(cluttered.withColumnRenamed("rate", "size_in"), str(tmp_path / "t"))

@@ -3,7 +3,8 @@
 All rows lie in blocks. How many rows of which block go to which shard is drawn before any row moves: the matrix of
 these counts follows the multivariate hypergeometric law that a uniform shuffle of all rows would give it. Each
 block is then permuted locally and cut by its row of the matrix, the pieces are exchanged, and each shard is
-permuted again. The law of sizes is ``rows``: counts of shards are at most one apart.
+permuted again. The law of sizes is ``rows``: counts of shards are at most one apart. A uniform shuffle takes no heed
+of texts, so rows of equal texts are dealt like any others and come to lie in several shards.
 
 Random orders are orders of seeded hashes of the row, so a task that runs again gives the same rows.
 Edge cases: a null text has size 1 and CRC 0, as an empty one; rows that are alike in doc_id, size and CRC may
@@ -94,9 +95,14 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 20240101, key: str = "d
 
 
 def write(docs: DataFrame, path: str, shards: int = 16, seed: int = 20240101) -> None:
-    """Write all columns as one Parquet folder a shard, each in the order of its slots."""
-    names = [c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "shard", "slot")]
-    placed = shard(docs, shards, seed, carry=names)
+    """Write all columns as one Parquet folder a shard, each in the order of its slots; a column of the input named as
+    one of this operator's is written as ``<name>_in``."""
+    own = ("size", "text_crc32", "shard", "slot")
+    taken = {c.lower() for c in docs.columns}
+    if clash := [f"{c}_in" for c in own if c in taken and f"{c}_in" in taken]:
+        raise ValueError(f"no free name for columns of the input: {', '.join(clash)} exist already")
+    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in docs.columns if c.lower() in own})
+    placed = shard(docs, shards, seed, carry=[c for c in docs.columns if c.lower() != "doc_id"])
     bins = F.floor(F.col("slot") / BLOCK_ROWS)
     placed.repartition("shard", bins).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
