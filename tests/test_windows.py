@@ -1,3 +1,4 @@
+from bisect import bisect_left
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import reducers as R
 from tidemill.functions.durations import micros, text
 from tidemill.functions.windows import Session, Sliding, Tumbling, merge_sessions
-from tidemill.operators.lateness import split_late
+from tidemill.operators.lateness import range_of, split_late
 from tidemill.operators.stream import StreamEnv
 
 BASE = datetime(2024, 1, 1, tzinfo=UTC)
@@ -72,6 +73,17 @@ def test_late_records(spark):
         assert sorted(r.v for r in on_time.collect()) == [1, 2, 4, 5]
 
 
+def test_ranges_of_an_order(spark):
+    places = [float(x) for x in range(-3, 41)] + [1e18, float("inf"), None]
+    df = spark.createDataFrame([(x,) for x in places], "x double")
+    for n in (0, 1, 2, 3, 4, 7, 8, 31):
+        cuts = [i * 1.25 for i in range(n)]
+        got = [tuple(r) for r in df.select("x", range_of(F.col("x"), cuts)).collect()]
+        assert got == [(x, 0 if x is None else bisect_left(cuts, x)) for x in places]
+    many = df.select(range_of(F.col("x"), [float(i) for i in range(100_000)]).alias("r"))
+    assert [r.r for r in many.where("r > 39").collect()] == [40, 100_000, 100_000]
+
+
 def test_without_a_watermark_nothing_is_late(spark):
     s = stream(spark, [("k", 1, 100), ("k", 1, 1)]).key_by("key")
     assert s.window_reduce(Tumbling("10s"), R.count("n")).df.count() == 2

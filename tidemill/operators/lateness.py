@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import micros
@@ -19,6 +19,15 @@ from ..functions.durations import micros
 RANGE_ROWS = 1_000_000
 
 
+def range_of(place: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` lie below ``place`` (none below null): bisection, in an expression of one size."""
+    if not cuts:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")  # folded into one constant
+    widths = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(widths, F.lit(0), lambda at, w: F.when(F.get(held, at + w - 1) < place, at + w).otherwise(at))
+
+
 def with_watermark_before(df: DataFrame, ts: str, arrival: list[str], lateness: str | int | timedelta, out: str = "watermark", ranges: int | None = None) -> DataFrame:
     """``df`` with the watermark that each record meets (null for the first)."""
     first = arrival[0]
@@ -29,7 +38,7 @@ def with_watermark_before(df: DataFrame, ts: str, arrival: list[str], lateness:
     df = df.withColumn("__place", place)
     # Cut points need not be exact: any rule that keeps the order of arrival will do.
     cuts = df.approxQuantile("__place", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    df = df.withColumn("__range", sum((F.coalesce(F.col("__place") > c, F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+    df = df.withColumn("__range", range_of(F.col("__place"), sorted(set(cuts))))
     within = Window.partitionBy("__range").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
     tops = df.groupBy("__range").agg(F.max(ts).alias("__top"))
     before = F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
